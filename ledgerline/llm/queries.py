@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerline.llm.common import Scratch
 from ledgerline.llm.token_counts import token_counts
+from ledgerline.llm.token_output import read_tokens, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
