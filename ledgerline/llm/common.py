@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
@@ -92,7 +93,7 @@ def pieces(batches, limit: int):
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index("text")
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0), np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(at)), 0), np.int64)
         group = (np.cumsum(sizes) - sizes) // limit
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import Scratch
+from ledgerline.llm.decontaminate import find_leaks
 from ledgerline.llm.line_dedup import dedup_lines, file_batches
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.token_output import read_tokens, write_tokens
@@ -35,6 +36,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, _table(spark, sf_dir, "benchmark"), length=10)
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["to"] - s["from"])
+    out = found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 

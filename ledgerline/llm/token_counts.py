@@ -13,6 +13,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,7 +218,7 @@ def token_counts(docs: DataFrame, model: str, max_tokens: int = 4096, text: str
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                size = pa.compute.fill_null(pa.compute.binary_length(part.column(1)), 0).cast(pa.int64())
+                size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
                 n = counter(texts)
                 over = pa.array([x > max_tokens for x in n], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n, pa.int64()), over], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
