@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.decontaminate import find_leaks
 from ledgerline.llm.line_dedup import dedup_lines, file_batches
+from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.token_output import read_tokens, write_tokens
 
@@ -25,6 +26,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(_table(spark, sf_dir, "documents"), length=13)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path("files")
     write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
@@ -48,6 +54,42 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), 4096)
 
 
+OP1_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+win AS (
+  SELECT doc_id, k AS pos, array_to_string(ws[k:k + 12], ' ') AS win
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w WHERE len(ws) >= 13)),
+first AS (SELECT win, min(doc_id) AS doc FROM win GROUP BY win),
+hit AS (SELECT DISTINCT doc_id, pos + unnest(range(13)) AS pos FROM win JOIN first USING (win) WHERE doc_id > doc),
+kept AS (
+  SELECT word.doc_id, count(*) AS n_words, count(hit.pos) AS n_removed, string_agg(word, ' ' ORDER BY word.pos) FILTER (WHERE hit.pos IS NULL) AS kept
+  FROM word LEFT JOIN hit ON word.doc_id = hit.doc_id AND word.pos = hit.pos GROUP BY word.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+item AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k:k + 9], ' ') AS win
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM b WHERE len(ws) > 0)),
+size AS (SELECT DISTINCT n FROM item),
+win AS (
+  SELECT doc_id, n, k AS pos, array_to_string(ws[k:k + n - 1], ' ') AS win
+  FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS k FROM d, size WHERE len(ws) >= n)),
+found AS (SELECT doc_id, pos, win.n AS n, item_id FROM win JOIN item USING (win) WHERE win.n = item.n),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, pos + unnest(range(n)) AS pos FROM found) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN its ON d.doc_id = its.doc_id
+"""
+
 #: The blanks that are stripped are spelled out; DuckDB's lower() is kept to A-Z by translate().
 OP3_SQL = r"""
 WITH lines AS (
@@ -71,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
