@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.decontaminate import find_leaks
 from ledgerline.llm.line_dedup import dedup_lines, file_batches
+from ledgerline.llm.near_dedup import near_duplicates
 from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.token_output import read_tokens, write_tokens
@@ -42,6 +43,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, _table(spark, sf_dir, "benchmark"), length=10)
