@@ -3,10 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerline.llm import quality as quality_model
 from ledgerline.llm.common import Scratch
+from ledgerline.llm.decontaminate import decontaminate
+from ledgerline.llm.mixing import mix, word_count
+from ledgerline.llm.near_dedup import near_duplicates
+from ledgerline.llm.queries import fold, tokenizer
+from ledgerline.llm.token_output import read_tokens, write_tokens
 
-STAGES: list = []
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise quality score accepts."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near copies (five-word shingles, 0.8)."""
+    gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without the stretches that a benchmark passage covers."""
+    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), length=10)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, small sources up to 1.5 times."""
+    uses = mix(docs, word_count(), max_repeats=1.5).groupBy("doc_id").agg(F.max("copy").alias("last"))
+    out = docs.join(uses, docs["doc_id"].eqNullSafe(uses["doc_id"])).select(*[docs[c] for c in docs.columns], "last")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select(*docs.columns)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in files with Elias-Fano boundaries, read back: one row a document use."""
+    path = Scratch(spark, "corpus").path("tokens")
+    write_tokens(docs, path, tokenizer("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, path)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_output", token_output)]
+
+#: Training, sketches and vocabularies are beyond SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -11,7 +11,9 @@ from ledgerline.llm import language_id, quality
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.decontaminate import find_leaks
 from ledgerline.llm.line_dedup import dedup_lines, file_batches
+from ledgerline.llm.mixing import mix, word_count
 from ledgerline.llm.near_dedup import near_duplicates
+from ledgerline.llm.nearest import nearest
 from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.token_counts import token_counts
 from ledgerline.llm.token_output import read_tokens, write_tokens
@@ -55,6 +57,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -65,6 +72,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"), word_count(), max_repeats=1.5)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, _table(spark, sf_dir, "benchmark"), length=10)
