@@ -32,6 +32,8 @@ _ARROW_EF = pa.struct([("n", pa.int64()), ("base", pa.int64()), ("low_bits", pa.
 _ARROW = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("bounds", _ARROW_EF), ("keys", _ARROW_EF)])
 
 
+#: Between parts that are encoded together: a control character apart from all else is a pre-token with one id.
+DIVIDER = " \x01 "
 #: Punctuation that begins no contraction and no special string.
 PLAIN = ".,!?;:%$&*#()-"
 
@@ -44,13 +46,14 @@ class Encoder:
     for a vocabulary where it fails whole texts are encoded.
     """
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache, self.known, self.stems, self.by_parts = cache, {}, {}, True
+        self.divider = (self.tokenizer.encode(DIVIDER, add_special_tokens=False).ids + [-1])[0]
         self.by_parts = self._parts_hold()
 
     def _raw(self, texts: list[str]) -> list[bytes]:
@@ -58,6 +61,25 @@ class Encoder:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, kind).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def _raw_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of many short parts: encoded some hundreds at a time as one text, with a divider whose id nothing else has."""
+        kind, width, out = f"<u{self.width}", self.width, []
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for a in range(0, len(parts), 400):
+            group = parts[a : a + 400]
+            text = DIVIDER.join(group)
+            if text.count(DIVIDER) != text.count(DIVIDER[1]) or text.count(DIVIDER[1]) != len(group) - 1:
+                out += self._raw(group)
+                continue
+            ids = np.array(encode([text], add_special_tokens=False)[0].ids, kind)
+            cuts = np.flatnonzero(ids == self.divider)
+            if len(cuts) != len(group) - 1:
+                out += self._raw(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[p:q] for p, q in zip([0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(raw)])]
+        return out
+
     def _parts_hold(self) -> bool:
         probe = ["It's  A\n\ntest, ofé é ́x 12 3.\n", " lead and trail ", "\n", "don 't stop", "a   b\t c"]
         return self._encode(probe) == self._raw(probe)
@@ -81,28 +103,26 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         """Ids of new parts. A part that ends in plain punctuation after a letter is two pre-tokens for the vocabulary's
         rule, and Latin letters are lower-cased by it, so most parts share the ids of a bare lower-case stem."""
-        split, tails = [], set()
+        stems, tails = [], []
         for w in new:
-            stem, tail = w, ""
-            if "<|" not in w:
-                short = w.rstrip(PLAIN)
-                if short and short[-1].isalpha():
-                    stem, tail = short, w[len(short) :]
-                if stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem):
-                    stem = stem.lower()
-            split.append((stem, tail))
-            tails.add(tail)
-        want = {s for s, _ in split} | tails
+            stem, tail, short = w, "", w.rstrip(PLAIN)
+            special = "<|" in w
+            if len(short) != len(w) and short and not special and short[-1].isalpha():
+                stem, tail = short, w[len(short) :]
+            if not special and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
+                stem = stem.lower()
+            stems.append(stem)
+            tails.append(tail)
+        want = {*stems, *tails}
         if len(self.stems) + len(want) > self.cache:
             self.stems = {}
         fresh = [s for s in want if s not in self.stems]
-        for a in range(0, len(fresh), 20_000):
-            part = fresh[a : a + 20_000]
-            self.stems.update(zip(part, self._raw(part)))
+        self.stems.update(zip(fresh, self._raw_parts(fresh)))
         ids = self.stems
-        self.known.update((w, ids[s] + ids[t]) for w, (s, t) in zip(new, split))
-        if len(ids) and max(map(len, want), default=0) > 64:
-            self.stems = {s: v for s, v in ids.items() if len(s) <= 64}
+        self.known.update((w, ids[s] + ids[t]) for w, s, t in zip(new, stems, tails))
+        for s in fresh:
+            if len(s) > 64:
+                del ids[s]
 
     __call__ = _encode
 
