@@ -3,10 +3,12 @@
 Documents with equal shingle sets are one node from the start. A node's MinHash samples give its band keys, and are
 folded into an odd sketch: a bit string in which each (sample number, value) flips one bit. Two sketches' exclusive or
 counts the samples that differ, which tells high similarities apart precisely, so it sifts the pairs that a band brings
-together; what passes is confirmed on the full sets, in exact integers. Pairs come in two rounds: every member of a
-band bucket with the bucket's smallest node, then, where a bucket still spans several components, all pairs across them.
-So a group of n near copies costs about n pairs a band, no pair that could still join two components is left out, and
-no bucket has a cap.
+together; what passes is confirmed on the full sets, in exact integers.
+
+First every member of a band bucket is paired with the bucket's smallest node: n near copies cost about n pairs a band.
+Buckets that then still span several components are gathered by their main component, and all pairs across components
+are tried there in blocks of bounded size, on the sketches and then on the sets; a block returns the links that join
+components, never its pairs. No pair that could still join two components is left out, and no bucket has a cap.
 """
 
 from __future__ import annotations
@@ -22,6 +24,9 @@ BANDS, ROWS, SKETCH_LONGS = 40, 5, 8
 #: At most so many node ids are broadcast to pick their texts (8 bytes each); beyond, the texts are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Nodes in a block of a gathered group; two blocks meet in a task.
+BLOCK = 4096
+
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -135,6 +140,77 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(test, "a bigint, b bigint")
 
 
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows of groups ``g`` dealt to tasks (g, i, j): a group of more than BLOCK nodes is cut into blocks by hash of the
+    node, and each two blocks (and each with itself) make a task."""
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _opposite(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The components of a task's rows, the rows to try, and which rows belong to the second block (all, if it is one)."""
+    c = table.column("c").to_numpy()
+    own, j = table.column("own").to_numpy(), table.column("j").to_numpy()
+    second = own == j
+    first = own == table.column("i").to_numpy()
+    if first.all() and second.all():
+        # Pairs within the largest component are settled; the rows of all others try everything.
+        name, size = np.unique(c, return_counts=True)
+        first = c != name[size.argmax()]
+    return c, np.flatnonzero(first), second
+
+
+def _sift_block(table: pa.Table, percent: int, limit: int) -> pa.Table:
+    """The nodes that have a partner of another component as near as the sketches can tell."""
+    c, tried, second = _opposite(table)
+    n = table.column("n").to_numpy()
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+    hit = np.zeros(len(n), bool)
+    for k in tried.tolist():
+        near = second & (c != c[k]) & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k]))
+        at = np.flatnonzero(near)
+        at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(1) <= limit] if len(at) else at
+        if len(at):
+            hit[at] = hit[k] = True
+    return table.select(["g", "node", "s1", "c"]).filter(pa.array(hit))
+
+
+def _link_block(table: pa.Table, percent: int) -> pa.Table:
+    """Links between rows of different components whose full sets are near enough, as many as join what they can."""
+    c, tried, second = _opposite(table)
+    node = table.column("node").to_numpy()
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("members")]
+    size = np.array([len(x) for x in sets])
+    values, member = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(member, kind="stable")
+    posted, begin = owner[order], np.searchsorted(member[order], np.arange(len(values) + 1))
+    at = np.cumsum(size) - size
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    links = []
+    for k in tried.tolist():
+        own = member[at[k] : at[k] + size[k]]
+        many = begin[own + 1] - begin[own]
+        met = posted[np.repeat(begin[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        both = np.bincount(met, minlength=len(sets))
+        good = second & (c != c[k]) & (100 * both >= percent * (size + size[k] - both))
+        for m in np.flatnonzero(good).tolist():
+            p, q = root(c[k]), root(c[m])
+            if p != q:
+                parent[p] = q
+                links.append((int(node[k]), int(node[m])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) of every node with an edge: the smallest node it reaches.
 
@@ -166,7 +242,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return out.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift: float = 0.55, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift: float = 0.62, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     A row's set holds its distinct shingles of ``shingle`` words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer
@@ -176,7 +252,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift:
     doc_id takes no part (null component, kept). Other columns are ignored.
 
     ``sift`` is the sketch estimate below which a pair is not confirmed: at similarity 0.8 an estimate that low lies
-    beyond 8 standard deviations. A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.2e-7.
+    beyond 6 standard deviations. A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.2e-7.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")
@@ -194,35 +270,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift:
     buckets = nodes.select("node", "s1", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min(F.struct("node", "s1")).alias("head"), F.count("*").alias("size")).where("size > 1")
     crowd = scratch.table(buckets.join(heads.select("band", "head"), "band").select("band", "node", "s1", "head"), "crowd")
-    light = nodes.select("node", "s1", "n", "sketch")
-    side = {x: light.select(F.col("node").alias(x), F.col("s1").alias(f"s{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")) for x in "ab"}
+
+    light = [nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "s1", "n", "sketch")]) for x in "ab"]
+    flips = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH_LONGS))
+    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (flips <= flips_at(sift))
+    ends = ["node_a", "s1_a", "node_b", "s1_b"]
 
     def sifted(pairs: DataFrame) -> DataFrame:
-        flips = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-        near = pairs.distinct().join(side["a"], ["a", "sa"]).join(side["b"], ["b", "sb"])
-        return near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (flips <= flips_at(sift))).select("a", "sa", "b", "sb")
+        return pairs.select(*ends).distinct().join(light[0], ends[:2]).join(light[1], ends[2:]).where(alike).select(*ends)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.table(sifted(pairs), f"{name}-pairs")
+        pairs = scratch.table(pairs.toDF("a", "sa", "b", "sb"), f"{name}-pairs")
         ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = scratch.table(_sets(rows, ids, shingle), f"{name}-sets")
         out = scratch.table(_confirm(pairs, sets.dropDuplicates(["node", "s1"]), percent), f"{name}-edges")
         scratch.drop(f"{name}-sets", f"{name}-pairs")
         return out
 
-    star = crowd.where("node <> head.node OR s1 <> head.s1").select(F.col("head.node").alias("a"), F.col("head.s1").alias("sa"), F.col("node").alias("b"), F.col("s1").alias("sb"))
-    edges = confirmed(star, "star").unionByName(ties)
-    found = scratch.table(components(edges, scratch, "first"), "components-1")
-    # Buckets that still span several components: all pairs across them.
+    star = crowd.where("node <> head.node OR s1 <> head.s1").select(F.col("head.node").alias("node_a"), F.col("head.s1").alias("s1_a"), F.col("node").alias("node_b"), F.col("s1").alias("s1_b"))
+    edges = confirmed(sifted(star), "star").unionByName(ties)
+    found = scratch.table(components(edges, scratch, "star"), "components-star")
+    # Buckets that still span several components, by their main one.
     placed = crowd.join(found, "node", "left").select("band", "node", "s1", F.coalesce("component", "node").alias("c"))
-    open_ = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    rest = scratch.table(placed.join(open_, "band", "left_semi"), "rest")
-    x, y = (rest.select("band", F.col("node").alias(k), F.col("s1").alias(f"s{k}"), F.col("c").alias(f"c{k}")) for k in "ab")
-    across = x.join(y, "band").where("ca < cb").select("a", "sa", "b", "sb")
-    more = confirmed(across, "rest")
-    scratch.drop("crowd", "rest")
+    count = placed.groupBy("band", "c").agg(F.count("*").alias("size"))
+    main = count.groupBy("band").agg(F.max(F.struct("size", "c")).alias("m"), F.count("*").alias("k")).where("k > 1").select("band", F.col("m.c").alias("g"))
+    gathered = scratch.table(placed.join(main, "band").select("g", "node", "s1", "c").distinct(), "gathered")
+    sketched = _blocks(gathered.join(nodes.select("node", "s1", "n", "sketch"), ["node", "s1"]))
+    limit = flips_at(sift)
+    open_ = sketched.groupBy("g", "i", "j").applyInArrow(lambda t: _sift_block(t, percent, limit), "g bigint, node bigint, s1 bigint, c bigint")
+    open_ = scratch.table(open_.distinct(), "open")
+    sets = scratch.table(_sets(rows, open_.select("node").distinct(), shingle).dropDuplicates(["node", "s1"]), "open-sets")
+    whole = _blocks(open_.join(sets, ["node", "s1"]))
+    more = scratch.table(whole.groupBy("g", "i", "j").applyInArrow(lambda t: _link_block(t, percent), "a bigint, b bigint"), "open-edges")
     if not more.isEmpty():
-        found = scratch.table(components(edges.unionByName(more), scratch, "second"), "components-2")
+        found = scratch.table(components(edges.unionByName(more), scratch, "all"), "components-all")
+    scratch.drop("crowd", "gathered", "open", "open-sets")
     named = member.dropDuplicates(["doc_id"]).join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
