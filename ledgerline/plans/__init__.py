@@ -1,4 +1,6 @@
 """Queries over the driver tables, each with its SQL for an independent engine."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from ledgerline.plans import star, texts  # noqa: F401  both register their queries
+
+QUERIES: dict = dict(star.QUERIES)
+ORACLE: dict = dict(star.ORACLE)
