@@ -24,7 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies (five-word shingles, 0.8)."""
     gone = near_duplicates(docs, shingle=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # A few bytes a document are hashed; the texts are not sorted.
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, small sources up to 1.5 times."""
     uses = mix(docs, word_count(), max_repeats=1.5).groupBy("doc_id").agg(F.max("copy").alias("last"))
-    out = docs.join(uses, docs["doc_id"].eqNullSafe(uses["doc_id"])).select(*[docs[c] for c in docs.columns], "last")
+    out = docs.join(uses.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(uses["doc_id"])).select(*[docs[c] for c in docs.columns], "last")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).select(*docs.columns)
 
 

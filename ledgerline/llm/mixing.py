@@ -68,8 +68,8 @@ def mix(docs: DataFrame, tokens: Column, entropy: float | None = None, max_repea
     scratch = scratch or Scratch(spark, "mix")
     buckets = buckets or max(64, 16 * partitions(spark))
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), F.greatest(F.coalesce(tokens.cast("long"), F.lit(0)), F.lit(1)).cast("long").alias("n_tokens"))
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
-    rows = scratch.table(rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 11) / float(1 << 53)) * buckets).cast("int")), "rows")
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11))
+    rows = scratch.table(rows.withColumn("bucket", F.floor(F.col("h") / float(1 << 53) * buckets).cast("int")), "rows")
     parts = scratch.table(rows.groupBy("key", "bucket").agg(F.sum("n_tokens").alias("m")), "buckets")
     totals = scratch.table(parts.groupBy("key").agg(F.sum("m").alias("n")), "totals")
     a = exponent(totals, entropy, max_repeats, budget)

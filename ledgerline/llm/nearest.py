@@ -44,12 +44,12 @@ class _Index:
         self.bounds = np.searchsorted(flat[post], np.arange(len(pivots) + 1))
         self.posted, self.place = post // top.shape[1], (post % top.shape[1]).astype(np.int16)
 
-    def search(self, query: np.ndarray, qid: int, mine: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, qid: int, mine: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         parts = [slice(self.bounds[p], self.bounds[p + 1]) for p in mine]
         at = np.concatenate([self.posted[s] for s in parts])
         near = np.concatenate([self.prefix - np.abs(self.place[s] - j) for j, s in enumerate(parts)])
         met = np.bincount(at, near, len(self.vectors))
-        want = max(4 * (k + 1), int(np.ceil(share * len(met))))
+        want = max(4 * (k + 1), least, int(np.ceil(share * len(met))))
         if want < len(met):
             # Everything as near as the last one wanted is scored too; if that has met nothing, all are.
             got = np.flatnonzero(met >= np.partition(met, len(met) - want)[len(met) - want])
@@ -81,13 +81,13 @@ def places(vectors: np.ndarray, pivots: np.ndarray, norm2: float, query: bool =
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 128, prefix: int = 32, share: float = 0.2, block: int = 8192, shard: int = 65_536) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 128, prefix: int = 32, share: float = 0.25, least: int = 2048, block: int = 8192, shard: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by inner product (double precision), ties to smaller ids.
 
     Both inputs have (vec_id, vector array). A query's own vec_id is no candidate. Unusable vectors (see ``usable``),
     null ids, and vectors of another length than the commonest one take no part. The pivots are a bounded sample: the
-    ``pivots`` usable vectors with the smallest hashes. Every row is indexed; ``share`` of a shard's vectors, the best by
-    footrule with all their ties, is scored, so fewer candidates than k only come back if there are no more.
+    ``pivots`` usable vectors with the smallest hashes. Every row is indexed; ``share`` of a shard's vectors (``least`` of
+    them at the least), the best by footrule with all their ties, is scored, so fewer candidates than k only come back if there are no more.
     """
     spark = vectors.sparkSession
     clean = lambda df: usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where("vec_id IS NOT NULL"), "vector")
@@ -118,7 +118,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 1
 
             def answer():
                 index = _Index(np.concatenate(parts), np.concatenate(ids), pivot, norm2, prefix, k)
-                found = [index.search(q[j], qids[j], first[j], k, share) for j in range(len(qids))]
+                found = [index.search(q[j], qids[j], first[j], k, share, least) for j in range(len(qids))]
                 n = [len(f[0]) for f in found]
                 if sum(n):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n), pa.int64()), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.float64())], names=["query_id", "vec_id", "score"])
