@@ -82,5 +82,6 @@ def first_zone(x: Column, y: Column, zones: list[tuple[str, list[tuple[float, fl
 
 def group_outliers(df: DataFrame, key: str, value: str, times: float = 10.0, floor: float = 30.0, least: int = 3) -> DataFrame:
     """Rows of groups of ``least`` or more whose value exceeds ``times`` the group's upper median and ``floor``."""
-    upper = df.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("s")).where(F.size("s") >= least).select(key, F.expr("element_at(s, cast(size(s) div 2 as int) + 1)").alias("upper_median"))
+    # The discrete median from above is the upper one; it merges counts of values, not lists of rows.
+    upper = df.groupBy(key).agg(F.count(value).alias("_n"), F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC)").alias("upper_median")).where(F.col("_n") >= least).drop("_n")
     return df.join(upper, key).where((F.col(value) > times * F.col("upper_median")) & (F.col(value) > floor))
