@@ -10,24 +10,26 @@ of documents and the largest document id; a key is two 64-bit hashes (128 bits)
 from __future__ import annotations
 
 import hashlib
+import struct
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import Scratch
+from ledgerline.llm.common import Scratch, pieces
 
+_PAIR = struct.Struct("<qq")
 _STRIP = " \t\n\x0b\x0c\r"
 _LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
-def line_key(line: str, min_chars: int) -> bytes | None:
-    """16 bytes for a line whose stripped form has ``min_chars`` code points, else None."""
+def line_key(line: str, min_chars: int) -> tuple[int, int] | None:
+    """Two 64-bit hashes of a line whose stripped form has ``min_chars`` code points, else None."""
     key = line.strip(_STRIP)
     if len(key) < min_chars:
         return None
-    return hashlib.md5(key.translate(_LOWER).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+    return _PAIR.unpack(hashlib.md5(key.translate(_LOWER).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest())
 
 
 def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -35,8 +37,7 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in pieces([batch], 1 << 20):
                 ids, hi, lo = [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if text is None or i is None:
@@ -44,8 +45,8 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
                     found = {line_key(x, min_chars) for x in text.split("\n")}
                     found.discard(None)
                     ids += [i] * len(found)
-                    hi += [int.from_bytes(k[:8], "little", signed=True) for k in found]
-                    lo += [int.from_bytes(k[8:], "little", signed=True) for k in found]
+                    hi += [k[0] for k in found]
+                    lo += [k[1] for k in found]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "hi", "lo"])
 
     return docs.mapInArrow(keys, "doc_id bigint, hi bigint, lo bigint")
@@ -118,18 +119,18 @@ def dedup_lines(batches: list[DataFrame], min_chars: int = 40, min_docs: int = 5
     packed = drops.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("drops"))
     packed = scratch.table(packed, "drops")
     scratch.drop(*[f"keys-{k}" for k in range(len(tables))], *[n for level in runs.levels for n in level])
-    rows = reduce(DataFrame.unionByName, batches).join(packed, "doc_id", "left").select("doc_id", "text", "drops")
+    # The drops of a partition are a fraction of its texts: hashing them spares the texts a sort.
+    rows = reduce(DataFrame.unionByName, batches).join(packed.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", F.col("drops.hi").alias("hi"), F.col("drops.lo").alias("lo"))
 
     def rebuild(parts):
         for batch in parts:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
+            for part in pieces([batch], 1 << 20):
                 texts, total, dropped = [], [], []
-                for text, drops in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for text, hi, lo in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
                     lines = (text or "").split("\n")
                     kept = lines
-                    if drops:
-                        gone = {d["hi"].to_bytes(8, "little", signed=True) + d["lo"].to_bytes(8, "little", signed=True) for d in drops}
+                    if hi:
+                        gone = set(zip(hi, lo))
                         kept = [x for x in lines if line_key(x, min_chars) not in gone]
                     texts.append("\n".join(kept))
                     total.append(len(lines))
