@@ -146,7 +146,9 @@ def _blocks(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.join(sizes, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = dealt.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # Dealt anew by block: partitioned by group alone, all blocks of a group would run in one task.
+    return dealt.repartition("g", "i", "j")
 
 
 def _opposite(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from ledgerline.llm import near_dedup
 from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.near_dedup import near_duplicates
 from ledgerline.llm.substring_dedup import dedup_substrings
@@ -90,8 +91,9 @@ def near_truth(rows, shingle, percent):
     return sorted((i, len(s), root(i), i == root(i)) for i, s in zip(whose, sets))
 
 
-@pytest.mark.parametrize("shingle", [2, 5])
-def test_near(spark, shingle):
+@pytest.mark.parametrize("shingle,block", [(2, 4096), (5, 4096), (2, 7)])
+def test_near(spark, shingle, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     rows = documents(80, seed=9)
     base = ("alpha beta gamma delta " * 3 + " ".join(f"k{k}" for k in range(60))).split()
     for k in range(40):  # a group around the threshold: single links matter
