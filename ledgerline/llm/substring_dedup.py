@@ -192,7 +192,8 @@ def dedup_substrings(docs: DataFrame, length: int = 13, chunks: int | None = Non
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "substrings")
     chunks = chunks or 2 * partitions(spark)
-    bits = max(0, (chunks - 1).bit_length())
+    # A range's task takes what about eight chunks post; chunks times ranges is the number of postings' rows.
+    bits = max(0, (-(-chunks // 8) - 1).bit_length())
     rows = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(chunks)).cast("int").alias("chunk"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     dealt = scratch.bucketed(rows, "chunks", "chunk", chunks)
     replies, names, level = None, [], 0
