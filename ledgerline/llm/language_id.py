@@ -76,6 +76,15 @@ class LanguageFilter:
         return np.maximum(0, (out / np.maximum(n, 1)[:, None] - self.chance) / (1 - self.chance))
 
 
+def _first(rows: DataFrame, order: list, salt, n: int) -> DataFrame:
+    """The first ``n`` rows of each language: first of each of 64 salted parts of it, then of what those give, so that no
+    task gets more than 64 n rows of a language."""
+    for keys in (["lang", "_s"], ["lang"]):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        rows = rows.withColumn("_s", F.pmod(salt, F.lit(64))).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
+    return rows.drop("_s", "_k")
+
+
 def fit(docs: DataFrame, per_language: int = 1000, grams: int = 6000) -> LanguageFilter:
     """A filter from rows of (doc_id, text, lang) with a lang.
 
@@ -84,8 +93,7 @@ def fit(docs: DataFrame, per_language: int = 1000, grams: int = 6000) -> Languag
     n-grams come to the driver.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = rows.withColumn("k", first).where(F.col("k") <= per_language).select("doc_id").distinct()
+    chosen = _first(rows, [F.xxhash64("doc_id"), F.col("doc_id")], F.xxhash64("doc_id", F.lit(1)), per_language).select("doc_id").distinct()
     # At most per_language ids a language: bounded by the parameter.
     texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
 
@@ -100,7 +108,7 @@ def fit(docs: DataFrame, per_language: int = 1000, grams: int = 6000) -> Languag
             yield pa.RecordBatch.from_arrays([langs, pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     total = texts.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = total.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))).where(F.col("k") <= grams)
+    top = _first(total, [F.col("n").desc(), F.col("gram")], F.xxhash64("gram"), grams)
     held: dict[str, list] = {}
     for r in top.select("lang", "gram").collect():
         held.setdefault(r["lang"], []).append(r["gram"])
