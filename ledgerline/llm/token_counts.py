@@ -201,6 +201,13 @@ class Counter:
 _LOADED: dict[str, Counter] = {}
 
 
+def counter_for(path: str) -> Counter:
+    """The process's counter of a model, with what it has cached; called by reference from every task."""
+    if path not in _LOADED:
+        _LOADED[path] = Counter(PieceModel(path))
+    return _LOADED[path]
+
+
 def token_counts(docs: DataFrame, model: str, max_tokens: int = 4096, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, n_bytes, n_tokens, over_limit of every row's whole text.
 
@@ -211,9 +218,7 @@ def token_counts(docs: DataFrame, model: str, max_tokens: int = 4096, text: str
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches):
-        if model not in _LOADED:
-            _LOADED[model] = Counter(PieceModel(model))
-        counter = _LOADED[model]
+        counter = counter_for(model)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

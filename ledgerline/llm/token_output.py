@@ -46,13 +46,13 @@ class Encoder:
     for a vocabulary where it fails whole texts are encoded.
     """
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.cache, self.known, self.stems, self.by_parts = cache, {}, {}, True
+        self.cache, self.known, self.by_parts = cache, {}, True
         self.divider = (self.tokenizer.encode(DIVIDER, add_special_tokens=False).ids + [-1])[0]
         self.by_parts = self._parts_hold()
 
@@ -92,37 +92,36 @@ class Encoder:
         if len(self.known) + len(need) > self.cache:
             self.known = {}
         new = [w for w in need if w not in self.known]
-        self._learn(new)
+        self._learn(new, need)
         get = self.known.__getitem__
         out = [b"".join(map(get, parts)) for parts in held]
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
+        for w in [w for w in new if len(w) > 64]:  # they would fill the cache
+            del self.known[w]
         return out
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str], need: set[str]) -> None:
         """Ids of new parts. A part that ends in plain punctuation after a letter is two pre-tokens for the vocabulary's
         rule, and Latin letters are lower-cased by it, so most parts share the ids of a bare lower-case stem."""
-        stems, tails = [], []
+        known, whole, split = self.known, [], []
         for w in new:
+            if w.isalpha() and w.islower():
+                whole.append(w)
+                continue
             stem, tail, short = w, "", w.rstrip(PLAIN)
             special = "<|" in w
-            if len(short) != len(w) and short and not special and short[-1].isalpha():
+            if len(short) != len(w) and short and not special and short[-1].lower()[-1].isalpha():
                 stem, tail = short, w[len(short) :]
             if not special and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem)):
                 stem = stem.lower()
-            stems.append(stem)
-            tails.append(tail)
-        want = {*stems, *tails}
-        if len(self.stems) + len(want) > self.cache:
-            self.stems = {}
-        fresh = [s for s in want if s not in self.stems]
-        self.stems.update(zip(fresh, self._raw_parts(fresh)))
-        ids = self.stems
-        self.known.update((w, ids[s] + ids[t]) for w, s, t in zip(new, stems, tails))
-        for s in fresh:
-            if len(s) > 64:
-                del ids[s]
+            split.append((w, stem, tail))
+        want = {s for _, s, _ in split}
+        want.update(t for _, _, t in split)
+        want.difference_update(whole)
+        whole += [s for s in want if s not in known]
+        known.update(zip(whole, self._raw_parts(whole)))
+        known.update([(w, known[s] + known[t]) for w, s, t in split])
+        for s in [s for s in want if len(s) > 64 and s not in need]:
+            del known[s]
 
     __call__ = _encode
 
@@ -130,6 +129,14 @@ class Encoder:
 _LOADED: dict[str, Encoder] = {}
 
 
+def encoder_for(path: str) -> Encoder:
+    """The process's encoder of a file, with what it has cached. Tasks must call this by reference: a task's own function
+    comes with copies of the globals it names, so a cache among those would start empty in every task."""
+    if path not in _LOADED:
+        _LOADED[path] = Encoder(path)
+    return _LOADED[path]
+
+
 def _ef(e: EliasFano) -> dict:
     return {"n": e.n, "base": e.base, "low_bits": e.low_bits, "low": e.low, "high": e.high, "samples": e.samples}
 
@@ -149,9 +156,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
     rows = rows.repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches):
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = Encoder(tokenizer)
-        encoder = _LOADED[tokenizer]
+        encoder = encoder_for(tokenizer)
         kind = f"<u{encoder.width}"
         end = np.array([end_id], kind).tobytes()
         shard, state = TaskContext.get().partitionId(), {"block": 0, "first": 0}
