@@ -172,8 +172,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 for i, raw in zip(part.column(0).to_pylist(), encoder([t or "" for t in part.column(1).to_pylist()])):
                     ids.append(i)
                     parts.append(raw + end)
