@@ -3,7 +3,8 @@
 A vector is known by its pivots, nearest first. A shard of rows posts each of its distinct vectors in the inverted files
 of its first ``prefix`` pivots, with the pivot's place; a query walks the files of its own first pivots and sums, for
 every vector it meets, how near the places are (the footrule distance over the prefixes, turned round). The best share
-is scored exactly. Queries come in broadcast blocks of bounded size; each shard answers a block with its best k a query,
+is scored exactly, and further steps of the order after it for as long as a step still changes the query's result: in a
+crowd of much the same vectors the footrule alone does not tell which are nearest. Queries come in broadcast blocks of bounded size; each shard answers a block with its best k a query,
 and those are merged.
 """
 
@@ -37,28 +38,34 @@ class _Index:
         nth = np.arange(len(g)) - np.searchsorted(g, g)
         keep = nth <= k
         self.members, self.begin = ids[by][keep], np.searchsorted(g[keep], np.arange(len(first) + 1))
-        place = places(self.vectors, pivots, norm2)
-        top = np.argsort(place, axis=1, kind="stable")[:, :prefix]
+        top = leading(self.vectors, pivots, norm2, prefix)
         flat = top.ravel()
         post = np.argsort(flat, kind="stable")
         self.bounds = np.searchsorted(flat[post], np.arange(len(pivots) + 1))
         self.posted, self.place = post // top.shape[1], (post % top.shape[1]).astype(np.int16)
 
-    def search(self, query: np.ndarray, qid: int, mine: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, query: np.ndarray, qid: int, mine: np.ndarray, k: int, share: float, step: float) -> tuple[np.ndarray, np.ndarray]:
         parts = [slice(self.bounds[p], self.bounds[p + 1]) for p in mine]
         at = np.concatenate([self.posted[s] for s in parts])
         near = np.concatenate([self.prefix - np.abs(self.place[s] - j) for j, s in enumerate(parts)])
         met = np.bincount(at, near, len(self.vectors))
-        want = max(4 * (k + 1), least, int(np.ceil(share * len(met))))
-        if want < len(met):
+        order = np.argsort(-met)
+        falling = -met[order]
+        got, score = np.empty(0, np.int64), np.empty(0)
+        done, more = 0, max(4 * (k + 1), int(np.ceil(share * len(order))))
+        while done < len(order):
             # Everything as near as the last one wanted is scored too; if that has met nothing, all are.
-            got = np.flatnonzero(met >= np.partition(met, len(met) - want)[len(met) - want])
-        else:
-            got = np.arange(len(met))
-        score = (self.vectors[got] * query).sum(1)
-        if len(got) > k + 1:
-            best = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
-            got, score = got[best], score[best]
+            end = np.searchsorted(falling, falling[min(done + more, len(order)) - 1], "right")
+            found = order[done:end]
+            worth = (self.vectors[found] * query).sum(1)
+            worst = score.min() if len(score) > k else -np.inf
+            got, score = np.concatenate([got, found]), np.concatenate([score, worth])
+            if len(got) > k + 1:
+                best = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                got, score = got[best], score[best]
+            if not (worth > worst).any():
+                break
+            done, more = end, max(k + 1, int(np.ceil(step * len(order))))
         size = self.begin[got + 1] - self.begin[got]
         ids = self.members[np.repeat(self.begin[got], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
         score = np.repeat(score, size)
@@ -68,26 +75,29 @@ class _Index:
         return ids[top], score[top]
 
 
-def places(vectors: np.ndarray, pivots: np.ndarray, norm2: float, query: bool = False) -> np.ndarray:
-    """Place of every pivot in each vector's order. An added coordinate gives stored vectors one norm, so that order by
-    nearness is order by inner product; a query's added coordinate is 0."""
+def leading(vectors: np.ndarray, pivots: np.ndarray, norm2: float, prefix: int, query: bool = False) -> np.ndarray:
+    """The first ``prefix`` pivots of each vector, nearest first. An added coordinate gives stored vectors one norm, so that
+    order by nearness is order by inner product; a query's added coordinate is 0."""
     lift = lambda x: np.sqrt(np.maximum(0, norm2 - (x * x).sum(1)))
-    near = vectors @ pivots.T
-    if not query:
-        near = near + lift(vectors)[:, None] * lift(pivots)[None, :]
-    order = np.argsort(-near, axis=1, kind="stable")
-    out = np.empty(order.shape, np.int16)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None, :].repeat(len(order), 0), 1)
+    out = np.empty((len(vectors), prefix), np.int16)
+    for a in range(0, len(vectors), 4096):  # bounds the full orders held at once
+        part = vectors[a : a + 4096]
+        near = part @ pivots.T
+        if not query:
+            near = near + lift(part)[:, None] * lift(pivots)[None, :]
+        out[a : a + 4096] = np.argsort(-near, axis=1, kind="stable")[:, :prefix]
     return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 128, prefix: int = 32, share: float = 0.25, least: int = 2048, block: int = 8192, shard: int = 65_536) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.25, step: float = 0.1, block: int = 8192, shard: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by inner product (double precision), ties to smaller ids.
 
     Both inputs have (vec_id, vector array). A query's own vec_id is no candidate. Unusable vectors (see ``usable``),
     null ids, and vectors of another length than the commonest one take no part. The pivots are a bounded sample: the
-    ``pivots`` usable vectors with the smallest hashes. Every row is indexed; ``share`` of a shard's vectors (``least`` of
-    them at the least), the best by footrule with all their ties, is scored, so fewer candidates than k only come back if there are no more.
+    ``pivots`` usable vectors with the smallest hashes. Every row is indexed. ``share`` of a shard's vectors, the best by
+    footrule with all their ties, is scored, then ``step`` of them more until a step brings nothing into the best k; so
+    the work is bounded by the shard, and fewer candidates than k only come back if there are no more. Shards of every
+    size are searched alike.
     """
     spark = vectors.sparkSession
     clean = lambda df: usable(df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector")).where("vec_id IS NOT NULL"), "vector")
@@ -109,7 +119,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 1
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
         got = part.collect()  # about ``block`` rows
         q = np.array([r["vector"] for r in got]).reshape(len(got), common["d"])
-        first = np.argsort(places(q, pivot, norm2, True), axis=1, kind="stable")[:, :prefix]
+        first = leading(q, pivot, norm2, prefix, True)
         shared = spark.sparkContext.broadcast((np.array([r["vec_id"] for r in got], np.int64), q, first, pivot))
 
         def search(batches, shared=shared):
@@ -118,7 +128,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 1
 
             def answer():
                 index = _Index(np.concatenate(parts), np.concatenate(ids), pivot, norm2, prefix, k)
-                found = [index.search(q[j], qids[j], first[j], k, share, least) for j in range(len(qids))]
+                found = [index.search(q[j], qids[j], first[j], k, share, step) for j in range(len(qids))]
                 n = [len(f[0]) for f in found]
                 if sum(n):
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n), pa.int64()), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array(np.concatenate([f[1] for f in found]), pa.float64())], names=["query_id", "vec_id", "score"])

@@ -3,6 +3,8 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.llm import language_id, quality
@@ -96,3 +98,31 @@ def test_nearest_recall(spark):
         hits += len(best & set(r["v"]))
         total += 20
     assert len(got) == (ids % 20 == 0).sum() and hits / total >= 0.9
+
+
+def _many(kind, n=20000, d=64):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "norms":
+        x *= rng.lognormal(0, 0.3, n)[:, None]
+    if kind == "hot":  # a third of the rows in one crowd
+        x[: n // 3] = x[0] + 0.05 * rng.normal(size=(n // 3, d))
+        x = x[rng.permutation(n)]
+    return x
+
+
+@pytest.mark.parametrize("kind", ["uniform", "norms", "hot"])
+def test_nearest_recall_large_shard(spark, kind):
+    x = _many(kind)
+    table = pa.table({"vec_id": np.arange(len(x)), "vector": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))})
+    df = spark.createDataFrame(table).coalesce(1)  # one shard
+    asked = np.arange(0, len(x), 200)
+    got = {i: set() for i in asked.tolist()}
+    for r in nearest(df, df.where("vec_id % 200 = 0"), k=20).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    recall = [len(set(np.argsort(-s[j])[:20].tolist()) & got[i]) / 20 for j, i in enumerate(asked.tolist())]
+    print(kind, "recall", np.mean(recall), "lowest tenth", np.quantile(recall, 0.1))
+    assert np.mean(recall) >= 0.9
