@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -61,13 +65,37 @@ def shifted_lookup(wanted: DataFrame, store: DataFrame, key: str, year: str, val
     return wanted.select(key, year).join(best, [key, year], "left").select(key, year, F.col("b.shift").alias("shift"), F.col(f"b.{value}").alias(value))
 
 
+@F.arrow_udf(StringType())
+def _nfkc(text: pa.Array) -> pa.Array:
+    # Arrow's own utf8_normalize leaves kana and their voice marks apart.
+    return pa.array([x and unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
+
+
+def normalized_segment(text: Column) -> Column:
+    """Segment names for matching: NFKC, lower case, without blanks, joining signs and the words for business, division
+    and segment, taken out one after the other."""
+    t = F.regexp_replace(F.lower(_nfkc(text)), r"(?U)\A\s+|\s+\z", "")
+    for word in ("事業", "部門", "セグメント", "・", " ", "\u3000", "-", "&", ","):
+        t = F.replace(t, F.lit(word))
+    return F.regexp_replace(t, r"[ \t\-_/]+", "")
+
+
 def longest_alias(texts: DataFrame, aliases: DataFrame, least: int = 3) -> DataFrame:
-    """For each text (id, text) the alias (alias, category, level) it contains: the longest, then the deepest, then by name.
+    """For each text (id, text and, if there is one, description) its alias (alias, category, level): the one that equals
+    the text, else the longest contained in text and description, then the deepest, then by name; all as normalised.
 
-    Aliases are matched by their words through equi-joins where a text holds the alias as whole words; the alias's first
-    word is the join key, containment the residual test, so no text meets every alias.
+    Of aliases that are normalised alike the deepest stands, then the first by name. An alias of ``least`` characters or
+    more is contained only where its first ``least`` are: those are the join key, met by the texts' distinct grams of that
+    length, and containment the residual test, so no text meets every alias. Shorter ones only match as equals.
     """
-    words = texts.select("id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
-    keyed = aliases.where(F.length("alias") >= least).withColumn("word", F.split(F.lower("alias"), " ")[0])
-    hits = words.join(keyed, "word").where(F.contains(F.lower("text"), F.lower("alias")))
-    return hits.groupBy("id").agg(F.min_by(F.struct("alias", "category"), F.struct(-F.length("alias"), -F.col("level"), "alias")).alias("m")).select("id", "m.alias", "m.category")
+    about = F.concat_ws(" ", "text", "description") if "description" in texts.columns else F.col("text")
+    t = texts.select("id", normalized_segment(F.col("text")).alias("name"), normalized_segment(about).alias("full"))
+    index = aliases.withColumn("norm", normalized_segment(F.col("alias"))).where("length(norm) > 0").groupBy("norm")
+    index = index.agg(F.min_by(F.struct("alias", "category", "level"), F.struct(-F.col("level"), "alias", "category")).alias("a")).select("norm", "a.*")
+    equal = t.join(index, t["name"] == index["norm"]).select("id", F.lit(0).alias("way"), "norm", "alias", "category", "level")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("full") - least + 1), lambda k: F.substring("full", k, F.lit(least))))
+    keyed = t.where(F.length("full") >= least).select("id", "full", F.explode(grams).alias("gram"))
+    starts = index.where(F.length("norm") >= least).withColumn("gram", F.substring("norm", 1, least))
+    inside = keyed.join(starts, "gram").where(F.contains("full", F.col("norm"))).select("id", F.lit(1).alias("way"), "norm", "alias", "category", "level")
+    order = F.struct("way", -F.length("norm"), -F.col("level"), "alias")
+    return equal.unionByName(inside).groupBy("id").agg(F.min_by(F.struct("alias", "category"), order).alias("m")).select("id", "m.alias", "m.category")

@@ -149,3 +149,15 @@ def test_stream_upsert(spark, tmp_path):
 
     assert feed([("a", 2, 1.0), ("b", 1, 1.0)]) == [("a", 2, 1.0), ("b", 1, 1.0)]
     assert feed([("a", 1, 9.0), ("b", 3, 9.0)]) == [("a", 2, 1.0), ("b", 3, 9.0)]
+
+
+def test_alias_inside_words(spark):
+    aliases = [("ring", "jewel", 2), ("半導体", "chip", 2), ("半導体製造装置", "tool", 3), ("EV", "car", 3), ("ＥＶ 事業", "car_top", 2), ("silver ring", "silver", 3), ("gold-ring", "gold", 3)]
+    texts = [(1, "Earring shop", None), (2, "先端半導体製造装置部門", None), (3, "ＥＶ事業", "半導体製造装置"), (4, "EVs", None), (5, "Silver  Rings", None), (6, "その他", "車載半導体"), (7, "GOLD RING", "silver ring"), (8, None, None), (9, "ri", None), (10, "部事業門ﾘﾝｸﾞ", None)]
+    a = spark.createDataFrame(aliases, "alias string, category string, level int")
+    t = spark.createDataFrame(texts, "id int, text string, description string")
+    got = {r["id"]: (r["alias"], r["category"]) for r in select.longest_alias(t, a).collect()}
+    assert got == {1: ("ring", "jewel"), 2: ("半導体製造装置", "tool"), 3: ("EV", "car"), 5: ("silver ring", "silver"), 6: ("半導体", "chip"), 7: ("gold-ring", "gold")}
+    plain = {r["id"]: r["alias"] for r in select.longest_alias(t.select("id", "text"), a).collect()}
+    assert plain == {1: "ring", 2: "半導体製造装置", 3: "EV", 5: "silver ring", 7: "gold-ring"}
+    assert t.where("id = 10").select(select.normalized_segment(F.col("text"))).first()[0] == "リング"
