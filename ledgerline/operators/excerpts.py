@@ -9,20 +9,16 @@ from ledgerline.functions.scalars import first_case, parse_number
 
 
 def excerpts(docs: DataFrame, patterns: list[str], before: int = 100, after: int = 300, apart: int = 300, budget: int = 3000) -> DataFrame:
-    """doc_id, nth, start, excerpt: stretches round the matches of ordered patterns; a match closer than ``apart`` to one
-    already taken before it in the text is left out, and a document's excerpts stay within ``budget`` characters."""
-    rows = None
-    for k, p in enumerate(patterns):
-        pieces = F.split("text", p)
-        found = docs.select("doc_id", "text", F.lit(k).alias("rank"), F.posexplode(_positions(F.col("text"), p, pieces)).alias("pos", "start"))
-        rows = found if rows is None else rows.unionByName(found)
-    w = Window.partitionBy("doc_id").orderBy("start", "rank")
-    near = rows.withColumn("gap", F.col("start") - F.lag("start").over(w))
-    kept = near.where(F.col("gap").isNull() | (F.col("gap") >= apart))
-    cut = kept.withColumn("excerpt", F.substring(F.col("text"), F.greatest(F.col("start") - before, F.lit(0)) + 1, F.lit(before + after)))
-    order = Window.partitionBy("doc_id").orderBy("rank", "start")
-    spent = F.sum(F.length("excerpt")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumns({"spent": spent, "nth": F.row_number().over(order)}).where(F.col("spent") <= budget).select("doc_id", "nth", "start", "excerpt")
+    """doc_id, nth, start, excerpt: stretches round the matches of ordered patterns. Matches are taken pattern by pattern
+    and in the text's order within one; a match closer than ``apart`` to one already taken, on either side, is left out,
+    and a document's excerpts stay within ``budget`` characters."""
+    found = [F.transform(_positions(F.col("text"), p, F.split("text", p)), lambda s, k=k: F.struct(F.lit(k).alias("rank"), s.alias("start"))) for k, p in enumerate(patterns)]
+    empty = F.array().cast("array<struct<rank:int,start:int>>")
+    take = lambda done, m: F.when(F.exists(done, lambda t: F.abs(t["start"] - m["start"]) < apart), done).otherwise(F.array_append(done, m))
+    taken = F.aggregate(F.concat(*found), empty, take)
+    cut = docs.select("doc_id", "text", F.posexplode(taken).alias("pos", "m")).select("doc_id", (F.col("pos") + 1).alias("nth"), F.col("m.start").alias("start"), F.substring(F.col("text"), F.greatest(F.col("m.start") - before, F.lit(0)) + 1, F.lit(before + after)).alias("excerpt"))
+    spent = F.sum(F.length("excerpt")).over(Window.partitionBy("doc_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("spent", spent).where(F.col("spent") <= budget).drop("spent")
 
 
 def _positions(text: Column, pattern: str, pieces: Column) -> Column:

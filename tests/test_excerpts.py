@@ -38,6 +38,16 @@ def test_excerpts(spark):
     assert [r["nth"] for r in excerpts.excerpts(d, ["KEY", "other"], 5, 10, 100, 20).collect()] == [1]
 
 
+def test_excerpts_against_taken_only(spark):
+    chain = "".join("KEY" + "." * 247 for _ in range(9))  # a match every 250 characters
+    clash = "." * 50 + "low" + "." * 97 + "TOP" + "." * 600 + "low" + "." * 100 + "TOP"
+    d = spark.createDataFrame([(1, chain), (2, clash), (3, None)], "doc_id int, text string")
+    got = {}
+    for r in excerpts.excerpts(d, ["KEY|TOP", "low"]).orderBy("doc_id", "nth").collect():
+        got.setdefault(r["doc_id"], []).append((r["nth"], r["start"]))
+    assert got == {1: [(1, 0), (2, 500), (3, 1000), (4, 1500), (5, 2000)], 2: [(1, 150), (2, 856)]}
+
+
 def test_figures(spark):
     got = value(spark, excerpts.rental_values(F.col("t")), "賃貸等不動産の貸借対照表計上額は1,200百万円、時価は3,400百万円")
     assert (got["book"], got["fair"]) == (1200.0, 3400.0)
