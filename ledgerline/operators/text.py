@@ -30,6 +30,25 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
+def question_documents(docs: DataFrame, questions: DataFrame, section: str, k: int = 3, least: int = 1) -> DataFrame:
+    """query_id, doc_id, place: a section's first ``least`` documents (id, text, ordinal, section) for every question (id,
+    text), then the best of its other ones by BM25, measured among those only; ``k`` in all, filled up in order with
+    documents that hold none of the question's terms."""
+    own = docs.where(F.col("section") == section).select(F.struct("ordinal", "id").alias("id"), "text")
+    head = own.orderBy("id").limit(least).select("id")
+    asked = questions.select(F.col("id").alias("query_id"))
+    each = lambda few, score: asked.crossJoin(F.broadcast(few)).select("query_id", F.col("id").alias("doc_id"), score.alias("score"))  # noqa: E731  at most ``k`` rows
+    found = each(head, F.lit(float("inf")))
+    if k > least:
+        rest = own.join(head, "id", "left_anti")
+        best = bm25(rest, questions, k - least).select("query_id", "doc_id", "score")
+        # Among the first k - least there are as many without a term as can be needed.
+        spare = each(rest.orderBy("id").limit(k - least).select("id"), F.lit(0.0))
+        found = found.unionByName(best).unionByName(spare.join(best, ["query_id", "doc_id"], "left_anti"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("place", place).where(F.col("place") <= max(k, least)).select("query_id", F.col("doc_id.id").alias("doc_id"), "place")
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, pos, line."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))

@@ -161,3 +161,13 @@ def test_alias_inside_words(spark):
     plain = {r["id"]: r["alias"] for r in select.longest_alias(t.select("id", "text"), a).collect()}
     assert plain == {1: "ring", 2: "半導体製造装置", 3: "EV", 5: "silver ring", 7: "gold-ring"}
     assert t.where("id = 10").select(select.normalized_segment(F.col("text"))).first()[0] == "リング"
+
+
+def test_question_documents(spark):
+    docs = [(1, "cover", 1, "s"), (2, "alpha risk", 2, "s"), (3, "beta beta risk", 3, "s"), (4, "gamma", 4, "s"), (5, "beta", 1, "other")]
+    d = spark.createDataFrame(docs, "id int, text string, ordinal int, section string")
+    q = spark.createDataFrame([(10, "beta risk"), (11, "nothing")], "id int, text string")
+    run = lambda k, n: sorted((r["query_id"], r["place"], r["doc_id"]) for r in text.question_documents(d, q, "s", k, n).collect())
+    assert run(3, 1) == [(10, 1, 1), (10, 2, 3), (10, 3, 2), (11, 1, 1), (11, 2, 2), (11, 3, 3)]
+    assert run(9, 1) == [(10, 1, 1), (10, 2, 3), (10, 3, 2), (10, 4, 4), (11, 1, 1), (11, 2, 2), (11, 3, 3), (11, 4, 4)]
+    assert run(2, 2) == [(10, 1, 1), (10, 2, 2), (11, 1, 1), (11, 2, 2)]
