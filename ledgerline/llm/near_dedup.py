@@ -253,8 +253,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift:
     is the row's own. Rows that share a doc_id are one document: what either is linked with, both are. A row without
     doc_id takes no part (null component, kept). Other columns are ignored.
 
-    ``sift`` is the sketch estimate below which a pair is not confirmed: at similarity 0.8 an estimate that low lies
-    beyond 6 standard deviations. A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.2e-7.
+    ``sift`` is the sketch estimate below which a pair is not confirmed: a pair at similarity 0.8 falls
+    there with probability 8.5e-7 (Binomial(200, 0.2) differing samples, parity of twice as many balls in 512 bins, limit
+    114), one at 0.85 with 2.7e-11. A pair at 0.8 shares no band with probability (1 - 0.8 ** 5) ** 40 = 1.2e-7.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near")

@@ -1,5 +1,6 @@
 """Substring, line and near dedup against brute force."""
 
+import math
 import re
 from collections import defaultdict
 
@@ -110,3 +111,16 @@ def test_empty(spark):
     assert dedup_substrings(none, chunks=2).count() == 0
     assert dedup_lines([none, none]).count() == 0
     assert near_duplicates(none).count() == 0
+
+
+def test_stated_sift_miss():
+    """The chance that the sift drops a pair, exactly: parity of twice as many balls as samples differ."""
+    samples, bins, limit = near_dedup.BANDS * near_dedup.ROWS, 64 * near_dedup.SKETCH_LONGS, near_dedup.flips_at(0.62)
+    odd, past = [1.0] + [0.0] * bins, []
+    for _ in range(samples + 1):
+        past.append(sum(odd[limit + 1 :]))
+        for _ in range(2):
+            odd = [(odd[o - 1] * (bins - o + 1) / bins if o else 0) + (odd[o + 1] * (o + 1) / bins if o < bins else 0) for o in range(bins + 1)]
+    miss = lambda j: sum(math.comb(samples, d) * (1 - j) ** d * j ** (samples - d) * p for d, p in enumerate(past))
+    said = [f"{miss(j):.1e}".replace("e-0", "e-") for j in (0.8, 0.85)]
+    assert all(x in near_dedup.near_duplicates.__doc__ for x in said)
