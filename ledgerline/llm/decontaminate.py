@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import ALNUM, LOWER, pieces
+from ledgerline.llm.common import ALNUM, LOWER, Scratch, pieces
 
 _TABLE = bytes(int(LOWER[b]) if ALNUM[LOWER[b]] else 0x20 for b in range(256))
 
@@ -243,34 +243,52 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_by
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_bytes: int = 32 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
     """``docs`` with every occurrence of a benchmark window cut out of ``text``, again until none is left.
 
-    Same rules and bounds as ``find_leaks``; rows, columns and texts without an occurrence come back as they were.
+    Same rules and bounds as ``find_leaks``; rows, columns and texts without an occurrence come back as they were. With more
+    than one block of items each round is written to the shared folder, and the last one stays there.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = 1 + total // block_bytes
     out = docs
-    # A cut of one block's windows can bring words together that another block has: the first blocks look once more.
-    for k in [*range(blocks), *range(blocks - 1)]:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
-
-        def cut(batches, shared=shared):
-            windows = Windows(shared.value, length)
-            for batch in pieces(batches, shard_bytes):
-                at = batch.schema.get_field_index("text")
-                texts = batch.column(at).to_pylist()
-                todo = list(range(len(texts)))
-                while todo:
-                    spans = shard_hits([texts[i] for i in todo], windows)[1]
-                    todo = [i for i, s in zip(todo, spans) if s]
-                    for i, s in zip(todo, [s for s in spans if s]):
-                        texts[i] = remove_spans(texts[i], s)
-                columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        out = out.mapInArrow(cut, docs.schema)
-    return out
+    scratch, size = Scratch(spark, "cut"), lambda df: df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    # A cut of one block's windows can bring words together that any other block has: with several blocks, rounds over all
+    # of them go on until one cuts nothing.
+    turn, before = 0, size(docs) if blocks > 1 else None
+    while True:
+        for k in range(blocks):
+            out = _cut(out, items, k, blocks, length, shard_bytes)
+        if blocks == 1:
+            return out
+        out = scratch.table(out, f"round-{turn}")
+        after = size(out)
+        if turn:
+            scratch.drop(f"round-{turn - 1}")
+        if after == before:
+            return out
+        turn, before = turn + 1, after
+
+
+def _cut(docs: DataFrame, items: DataFrame, k: int, blocks: int, length: int, shard_bytes: int) -> DataFrame:
+    """``docs`` without the windows of one block of items, nor those that its own cuts make."""
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.toLocalIterator()])
+
+    def cut(batches, shared=shared):
+        windows = Windows(shared.value, length)
+        for batch in pieces(batches, shard_bytes):
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            todo = list(range(len(texts)))
+            while todo:
+                spans = shard_hits([texts[i] for i in todo], windows)[1]
+                todo = [i for i, s in zip(todo, spans) if s]
+                for i, s in zip(todo, [s for s in spans if s]):
+                    texts[i] = remove_spans(texts[i], s)
+            columns = [pa.array(texts, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(cut, docs.schema)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -75,6 +75,16 @@ def test_leaks(spark, block_bytes):
     assert remove_spans("A b, c! d", [(1, 3)]) == "A ! d" and remove_spans(None, [(0, 1)]) is None
 
 
+def test_cuts_that_make_windows(spark):
+    """Each cut brings the next pair together, and the pairs lie in different blocks."""
+    items = [(k, f"p{k} q{k}") for k in range(8)]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    text = "stays " + " ".join(f"p{k}" for k in range(8)) + " " + " ".join(f"q{k}" for k in reversed(range(8))) + " too"
+    clean = decontaminate(spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").coalesce(1), benchmark, 2, 12)
+    got = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert got[2] is None and split_words(got[1]) == [b"stays", b"too"]
+
+
 def test_exponent(spark):
     totals = spark.createDataFrame([("a", 1000.0), ("b", 100.0), ("c", 10.0)], "key string, n double")
     n = [1000.0, 100.0, 10.0]
