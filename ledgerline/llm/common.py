@@ -16,10 +16,13 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; a new one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session. Where that is unset, a folder
+    in the warehouse, which a cluster shares too; in local mode, where all run on one machine, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="ledgerline-")
@@ -72,13 +75,11 @@ def partitions(spark: SparkSession) -> int:
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes (with 8 zero bytes after the end) and int64 offsets of a string column; null counts as empty."""
+    column = column.cast(pa.large_binary())  # before chunks are joined: 32-bit offsets end at 2 GiB
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_binary())
+        column = column.fill_null(b"")
     _, offs, data = column.buffers()
     if not len(column):
         return np.zeros(8, np.uint8), np.zeros(1, np.int64)
