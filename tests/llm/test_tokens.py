@@ -5,6 +5,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,6 +26,16 @@ def test_elias_fano(values):
     assert e.values().tolist() == values
     for i in {0, len(values) // 2, len(values) - 1} & set(range(len(values))):
         assert e.value(i) == values[i]
+    some = [i for i in range(0, len(values), 7)][::-1]
+    assert e.select(some).tolist() == [values[i] for i in some]
+
+
+def test_elias_fano_wide():
+    values = [-(2**63), -5, 0, 3, 2**62, 2**63 - 1]
+    e = EliasFano.of(values)
+    assert e.values().tolist() == values and e.value(4) == 2**62
+    dense = np.repeat(np.arange(5000), 3)
+    assert EliasFano.of(dense).select(np.arange(0, 15000, 11)).tolist() == dense[::11].tolist()
 
 
 def texts():
@@ -37,7 +49,20 @@ def test_encoder():
     assert e.by_parts
     for a in range(0, len(texts()), 50):
         part = texts()[a : a + 50]
-        assert e(part) == e._raw(part)
+        ids, bounds = e(pa.array(part + [None]))
+        assert [ids[p:q].tobytes() for p, q in zip(bounds, bounds[1:])] == e._raw(part + [""])
+    assert [len(x) for x in e(pa.array([], pa.string()))] == [0, 1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \n.!,'aAéÉİǰJ̌Σς<|>"), st.characters(codec="utf-8")), max_size=40), max_size=5))
+def test_encoder_any(given_texts):
+    e = ENCODERS.setdefault(0, Encoder(WORD))
+    ids, bounds = e(pa.array(given_texts, pa.string()))
+    assert [ids[p:q].tobytes() for p, q in zip(bounds, bounds[1:])] == e._raw(given_texts)
+
+
+ENCODERS: dict = {}
 
 
 def test_counter():
@@ -65,12 +90,18 @@ def test_files(spark, tmp_path):
     write_tokens(frame(spark, rows), path, WORD, shards=3, block_tokens=500)
     got = [tuple(r) for r in read_tokens(spark, path).orderBy("start").collect()]
     raw = Encoder(WORD)._raw
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    salt = lambda t: 42 if t is None else int(np.uint64(xxhash.xxh64(t.encode(), seed=42).intdigest()).astype(np.int64))  # noqa: E731  Spark's xxhash64
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, salt(r[1]), r[1] or ""))
     ids = [np.frombuffer(raw([t or ""])[0], "<u2").astype("<u4").tolist() + [1] for _, t, *_ in order]
     starts = np.cumsum([0] + [len(x) for x in ids])
     assert got == [(r[0], int(s), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, s, x in zip(order, starts, ids)]
     assert [x.tolist() for x in document_ids(spark, path, 20)] == [x for r, x in zip(order, ids) if r[0] == 20]
     assert sorted(x.tolist() for x in document_ids(spark, path, 4)) == sorted(x for r, x in zip(order, ids) if r[0] == 4)
     assert document_ids(spark, path, 9999) == []
+    named = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "place bigint, doc_id bigint, text string, lang string, source string, n_chars bigint")
+    write_tokens(named, str(tmp_path / "named"), WORD, shards=3, block_tokens=500, key="place", name="doc_id")
+    assert sorted(str(r["doc_id"] or 0) for r in read_tokens(spark, str(tmp_path / "named")).collect()) == sorted(str(r[0] or 0) for r in rows)
+    placed = [r["doc_id"] or 0 for r in named.orderBy("place").collect()]
+    assert [r["doc_id"] for r in read_tokens(spark, str(tmp_path / "named")).orderBy("start").collect()] == placed
     write_tokens(frame(spark, []), str(tmp_path / "none"), WORD)
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
