@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -64,6 +65,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Has the driver forget jobs that are done, so that Spark's cleaner removes their shuffle files early."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the one figure that whoever runs it sizes to the data."""

@@ -41,10 +41,38 @@ def test_substrings(spark, length, chunks):
 def test_substrings_extend(spark):
     base = [f"u{k}" for k in range(100)]
     rows = [(1, " ".join(base), "en", "s", 1), (2, "z " + " ".join(base[10:90]) + " y", "en", "s", 1), (3, " ".join(base[:7] + ["q"] * 3), "en", "s", 1), (None, " ".join(base), "en", "s", 1)]
-    got = {r["doc_id"]: r for r in dedup_substrings(frame(spark, rows), length=5, chunks=3, extend=True).collect()}
+    got = {r["doc_id"]: r for r in dedup_substrings(frame(spark, rows), length=5, chunks=3).collect()}
     assert [(s["from"], s["to"]) for s in got[2]["spans"]] == [(1, 81)]
     assert got[2]["longest"] == 80 and got[3]["longest"] == 5 and got[3]["n_removed"] == 7
-    assert got[None]["n_removed"] == 0 and got[1]["n_removed"] == 0
+    assert got[None]["n_removed"] == 0 and got[1]["n_removed"] == 0 and got[None]["longest"] == 0
+
+
+def test_substrings_longest(spark):
+    """The doubling against brute force; rows of one doc_id in several chunks repeat nothing of each other."""
+    rows = documents() + [(300, "same words " * 40 + str(k), "en", "s", 1) for k in range(6)]
+    docs = [(i, WORD.findall(t or "")) for i, t, *_ in rows]
+    want = []
+    for i, w in docs:
+        best, n = 0, 5
+        while n <= len(w):
+            others = {tuple(x[k : k + n]) for j, x in docs if j != i for k in range(len(x) - n + 1)}
+            if not any(tuple(w[k : k + n]) in others for k in range(len(w) - n + 1)):
+                break
+            best, n = n, 2 * n
+        want.append((i, len(w), best))
+    got = dedup_substrings(frame(spark, rows), length=5, chunk_bytes=2000).select("doc_id", "n_words", "longest").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_large_texts():
+    """Text columns past 2 GiB are joined with 64-bit offsets."""
+    import pyarrow as pa
+
+    from ledgerline.llm.common import buffers
+
+    part = pa.array(["x" * (1 << 20)] * 700)
+    data, offs = buffers(pa.chunked_array([part] * 3))
+    assert offs[-1] == 2100 << 20 and len(data) == offs[-1] + 8 and len(offs) == 2101
 
 
 def line_truth(rows, min_chars, min_docs):
