@@ -58,12 +58,20 @@ class Scratch:
         self.spark.sql(f"DROP TABLE {table}")
         return out
 
+    def _file(self, name: str):
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
+
+    def make(self, name: str) -> None:
+        """The folder of a table, if it is not there."""
+        path, fs = self._file(name)
+        fs.mkdirs(path)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(conf).delete(path, True)
+            path, fs = self._file(name)
+            fs.delete(path, True)
 
     def release(self) -> None:
         """Has the driver forget jobs that are done, so that Spark's cleaner removes their shuffle files early."""

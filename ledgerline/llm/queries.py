@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm import language_id, quality
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.decontaminate import find_leaks
-from ledgerline.llm.line_dedup import dedup_lines, file_batches
+from ledgerline.llm.line_dedup import dedup_lines
 from ledgerline.llm.mixing import mix, word_count
 from ledgerline.llm.near_dedup import near_duplicates
 from ledgerline.llm.nearest import nearest
@@ -42,13 +42,13 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(file_batches(_table(spark, sf_dir, "documents"), 4), min_chars=40, min_docs=5)
+    out = dedup_lines(_table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def fold(key: str, n: int):
-    """crc32 of the id's text, modulo n."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+    """crc32 of the id's text, modulo n; -1 for a null id, which is in no fold."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(-1))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,8 +196,8 @@ def dedup_substrings(docs: DataFrame, length: int = 13, chunk_bytes: int = 8 <<
     if chunks is None:
         total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         chunks = max(partitions(spark), -(-total // chunk_bytes))
-    # A range's task takes what about eight chunks post.
-    bits = max(0, (-(-chunks // 8) - 1).bit_length())
+    # A range takes what about two chunks post: small enough that some in one task do not stand out.
+    bits = max(0, (-(-chunks // 2) - 1).bit_length())
     dealt = scratch.bucketed(rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")), "chunks", "chunk", chunks)
 
     def level(df: DataFrame, name: str) -> tuple[DataFrame, ...]:

@@ -77,11 +77,11 @@ def test_large_texts():
 
 def line_truth(rows, min_chars, min_docs):
     key = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
-    docs = defaultdict(list)
-    for n, (i, t, *_) in enumerate(rows):
+    docs = defaultdict(set)
+    for i, t, *_ in rows:
         if i is not None:
-            for k in {key(x) for x in (t or "").split("\n")}:
-                docs[k].append(i)
+            for x in (t or "").split("\n"):
+                docs[key(x)].add(i)
     out = []
     for i, t, *_ in rows:
         lines = (t or "").split("\n")
@@ -90,14 +90,44 @@ def line_truth(rows, min_chars, min_docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("parts,fanout", [(1, 4), (5, 2), (7, 3)])
-def test_lines(spark, parts, fanout):
-    rows = documents() + [(None, "This line is shared by a good many of the documents here", "en", "s", 1)]
-    batches = [frame(spark, rows[k::parts]) for k in range(parts)]
-    got = dedup_lines(batches, min_chars=20, min_docs=3, fanout=fanout).collect()
+@pytest.mark.parametrize("batches,fanout", [(1, 4), (5, 2), (9, 3)])
+def test_lines(spark, batches, fanout):
+    line = "This line is shared by a good many of the documents here"
+    once = "Ünly two documents hold this line, one of them four times over"
+    rows = documents() + [(None, line, "en", "s", 1), *[(400, once, "en", "s", 1)] * 4, (401, once.upper().replace("Ü", "ü") + "\n" + once, "en", "s", 1)]
+    got = dedup_lines(frame(spark, rows), min_chars=20, min_docs=3, batches=batches, fanout=fanout).collect()
     assert sorted(map(tuple, got), key=str) == line_truth(rows, 20, 3)
 
 
+def test_line_runs(spark):
+    """The anti-join decides: a key enters a run once, later sightings are tallied; compaction keeps every key once."""
+    from ledgerline.llm.common import Scratch
+    from ledgerline.llm.line_dedup import LineRuns
+
+    runs, want = LineRuns(spark, Scratch(spark, "test"), fanout=2), defaultdict(list)
+    for b in range(7):
+        rows = [(10 * b + k, (b * k) % 5, 0) for k in range(6)]
+        before = set(want)
+        for d, h, _ in rows:
+            want[h].append(d)
+        _, tally = runs.add(spark.createDataFrame(rows, "doc_id bigint, hi bigint, lo bigint"))
+        assert {r["hi"] for r in tally.collect()} == {h for _, h, _ in rows} & before
+        held = [r["hi"] for r in runs._read(runs._runs()).collect()]
+        assert sorted(held) == sorted(want)
+        assert all(len(level) < 2 for level in runs.levels)
+    assert {r["hi"]: (r["n_rows"], r["max_doc"]) for r in runs.merged().collect()} == {h: (len(d), max(d)) for h, d in want.items()}
+
+
+def test_line_keys(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline.llm.line_dedup import keys_of, line_key
+
+    texts = ["  Abc Déf\t", "ÀB\x0b\x0c\r x", "ⅣK İ ÉA", "plain", ""]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.transform(keys_of(F.col("t"), 3), lambda k: F.array(k["hi"], k["lo"]))).collect()]
+    assert got == [[list(line_key(t, 3))] if line_key(t, 3) else [] for t in texts]
+
+
 def near_truth(rows, shingle, percent):
     sets, whose = [], []
     for i, t, *_ in rows:
@@ -137,7 +167,7 @@ def test_near(spark, shingle, block, monkeypatch):
 def test_empty(spark):
     none = frame(spark, [])
     assert dedup_substrings(none, chunks=2).count() == 0
-    assert dedup_lines([none, none]).count() == 0
+    assert dedup_lines(none).count() == 0
     assert near_duplicates(none).count() == 0
 
 
