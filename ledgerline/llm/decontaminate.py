@@ -209,7 +209,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_by
     """The columns of ``docs`` with n_words, spans (array of [from, to) in words), items (sorted as strings) added.
 
     A window is ``length`` consecutive words of an item, or a shorter item whole; a null or wordless item has none and
-    a null text no words. The benchmark goes to the executors in blocks of at most about ``block_bytes`` of text, one
+    a null text no words. Items without an id are searched like all others and stand as one null, last, in ``items``. The benchmark goes to the executors in blocks of at most about ``block_bytes`` of text, one
     pass over the documents a block (one pass for any benchmark that fits); a single item is never cut. Rows that repeat
     are judged each for itself; names of ``docs`` that clash with the added ones give way to them. Nothing of the
     documents is shuffled.
@@ -218,7 +218,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_by
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = 1 + total // block_bytes
-    out = docs.drop("n_words", "spans", "items").withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.expr("array_remove(array(named_struct('from', 0L, 'to', 0L)), named_struct('from', 0L, 'to', 0L))"), "items": F.expr("array_remove(array(''), '')")})
+    out = docs.drop("n_words", "spans", "items").withColumns({"n_words": F.lit(0).cast("bigint"), "spans": F.expr("array_remove(array(named_struct('from', 0L, 'to', 0L)), named_struct('from', 0L, 'to', 0L))"), "items": F.array().cast("array<string>")})
     schema = out.schema
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -231,7 +231,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, length: int = 10, block_by
                 texts = batch.column(names.index("text")).to_pylist()
                 counts, spans, found = shard_hits(texts, windows)
                 spans = [[*map(tuple, x)] + own for x, own in zip(([(y["from"], y["to"]) for y in z] for z in batch.column(names.index("spans")).to_pylist()), spans)]
-                found = [sorted({*x, *own}) for x, own in zip(batch.column(names.index("items")).to_pylist(), found)]
+                found = [sorted({*x, *own}, key=lambda i: (i is None, i or "")) for x, own in zip(batch.column(names.index("items")).to_pylist(), found)]
                 arrow = batch.schema
                 columns = {"n_words": pa.array(counts, pa.int64()), "spans": pa.array([[{"from": a, "to": b} for a, b in merge(x)] for x in spans], arrow.field("spans").type), "items": pa.array(found, arrow.field("items").type)}
                 yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(i)) for i, n in enumerate(names)], schema=arrow)

@@ -89,13 +89,14 @@ def fit(docs: DataFrame, per_language: int = 1000, grams: int = 6000) -> Languag
     """A filter from rows of (doc_id, text, lang) with a lang.
 
     Bounds of the fit, both parameters: at most ``per_language`` rows of each language, those with the smallest hashes
-    of doc_id (whole texts), and of their n-grams the ``grams`` most frequent. Counting is distributed; only the chosen
+    of doc_id, then of text (whole texts; rows without doc_id are not learned from), and of their n-grams the ``grams`` most frequent. Counting is distributed; only the chosen
     n-grams come to the driver.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang")
     chosen = _first(rows, [F.xxhash64("doc_id"), F.col("doc_id")], F.xxhash64("doc_id", F.lit(1)), per_language).select("doc_id").distinct()
-    # At most per_language ids a language: bounded by the parameter.
-    texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    # At most per_language ids a language: bounded by the parameter. Rows that share an id are bounded once more.
+    texts = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    texts = _first(texts, [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text")], F.xxhash64("text", F.lit(1)), per_language).select("lang", "text")
 
     def count(batches):
         for batch in pieces(batches, 1 << 20):

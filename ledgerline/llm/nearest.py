@@ -32,8 +32,11 @@ class _Index:
         raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * 8))).ravel()
         _, first, group = np.unique(raw, return_index=True, return_inverse=True)
         self.vectors, self.prefix = vectors[first], prefix
+        # An id with several vectors can stand with each of them among the best: so many more have to be kept.
+        self.often = int(np.unique(ids, return_counts=True)[1].max())
         # Equal vectors score alike and ties go to smaller ids: beyond k + 1 of them (one may be the query) none can show.
         by = np.argsort(group, kind="stable")
+        by = by[np.r_[True, (group[by][1:] != group[by][:-1]) | (ids[by][1:] != ids[by][:-1])]]
         g = group[by]
         nth = np.arange(len(g)) - np.searchsorted(g, g)
         keep = nth <= k
@@ -52,26 +55,30 @@ class _Index:
         order = np.argsort(-met)
         falling = -met[order]
         got, score = np.empty(0, np.int64), np.empty(0)
-        done, more = 0, max(4 * (k + 1), int(np.ceil(share * len(order))))
+        want = (k + 1) * self.often
+        done, more = 0, max(4 * want, int(np.ceil(share * len(order))))
         while done < len(order):
             # Everything as near as the last one wanted is scored too; if that has met nothing, all are.
             end = np.searchsorted(falling, falling[min(done + more, len(order)) - 1], "right")
             found = order[done:end]
             worth = (self.vectors[found] * query).sum(1)
-            worst = score.min() if len(score) > k else -np.inf
+            worst = score.min() if len(score) >= want else -np.inf
             got, score = np.concatenate([got, found]), np.concatenate([score, worth])
-            if len(got) > k + 1:
-                best = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+            if len(got) > want:
+                best = score >= np.partition(score, len(score) - want)[len(score) - want]
                 got, score = got[best], score[best]
             if not (worth > worst).any():
                 break
-            done, more = end, max(k + 1, int(np.ceil(step * len(order))))
+            done, more = end, max(want, int(np.ceil(step * len(order))))
         size = self.begin[got + 1] - self.begin[got]
         ids = self.members[np.repeat(self.begin[got], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
         score = np.repeat(score, size)
         other = ids != qid
         ids, score = ids[other], score[other]
-        top = np.lexsort((ids, -score))[:k]
+        top = np.lexsort((ids, -score))
+        if self.often > 1:  # an id shows once, at its best
+            top = top[np.sort(np.unique(ids[top], return_index=True)[1])]
+        top = top[:k]
         return ids[top], score[top]
 
 
@@ -89,11 +96,30 @@ def leading(vectors: np.ndarray, pivots: np.ndarray, norm2: float, prefix: int,
     return out
 
 
+def _pivots(rows: DataFrame, wanted: int) -> np.ndarray:
+    """The different vectors with the smallest hashes, by one pass that keeps so many a task; again over what lies past them
+    while copies of one vector leave too few."""
+    found: list = []
+    past = None
+    while len(found) < wanted:
+        hashed = rows.select(F.xxhash64("vector").alias("h"), "vector")
+        got = (hashed if past is None else hashed.where(F.col("h") > past)).orderBy("h").limit(2 * wanted).collect()
+        if not got:
+            break
+        past = got[-1]["h"]
+        for r in got:
+            if not found or found[-1] != r["vector"]:
+                found.append(r["vector"])
+    return np.array(found[:wanted])
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.25, step: float = 0.1, block: int = 8192, shard: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by inner product (double precision), ties to smaller ids.
 
     Both inputs have (vec_id, vector array). A query's own vec_id is no candidate. Unusable vectors (see ``usable``),
-    null ids, and vectors of another length than the commonest one take no part. The pivots are a bounded sample: the
+    null ids, and vectors of another length than the commonest one (of equally common ones the shortest) take no part:
+    they have no inner product with the rest. Rows that share a vec_id are candidates each, and a query lists the id once,
+    at its best score; of query rows that share an id the one with the smallest vector asks. The pivots are a bounded sample: the
     ``pivots`` usable vectors with the smallest hashes. Every row is indexed. ``share`` of a shard's vectors, the best by
     footrule with all their ties, is scored, then ``step`` of them more until a step brings nothing into the best k; so
     the work is bounded by the shard, and fewer candidates than k only come back if there are no more. Shards of every
@@ -104,13 +130,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 2
     rows, asked = clean(vectors), clean(queries)
     schema = "query_id bigint, vec_id bigint, score double"
     common = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    final = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = lambda df: df.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # noqa: E731  shards may share an id
+    final = lambda df: once(df).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     if common is None:
         return final(spark.createDataFrame([], schema))
     rows, asked = (x.where(F.size("vector") == common["d"]) for x in (rows, asked))
+    asked = asked.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     norm2 = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    sample = rows.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(pivots).collect()
-    pivot = np.array([r["vector"] for r in sample])
+    pivot = _pivots(rows, pivots)
     prefix = min(prefix, len(pivot))
     total = asked.count()
     blocks = max(1, -(-total // block))

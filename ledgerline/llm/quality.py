@@ -109,15 +109,17 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, pairs: int = 12_000, penalty: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> QualityModel | None:
-    """A model from ``labels`` (doc_id, quality 0 or 1; nulls left out) and the whole texts of ``docs``.
+    """A model from ``labels`` (doc_id, quality 0 or 1) and the whole texts of ``docs``.
 
-    The bound of the fit: ``max_labels`` labelled rows, those with the smallest hashes of doc_id. None if they lack one
-    of the two labels.
+    Null ids and labels are left out, and so is a doc_id with both labels; a label that is repeated counts once. Of rows
+    of ``docs`` that share a labelled doc_id one is learned from, that with the smallest features. The bound of the fit:
+    ``max_labels`` labelled rows, those with the smallest hashes of doc_id. None if they lack one of the two labels.
     """
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
     # A bounded number of rows: max_labels.
-    chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
+    clear = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    chosen = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
     rows = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def extract(batches):
@@ -127,7 +129,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> QualityMo
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["doc_id", "quality", "x"])
 
     schema = StructType([rows.schema["doc_id"], rows.schema["quality"], StructField("x", ArrayType(DoubleType()))])
-    got = sorted(rows.mapInArrow(extract, schema).toLocalIterator(), key=lambda r: (r["doc_id"], r["quality"]))
+    one = rows.mapInArrow(extract, schema).groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    got = sorted(one.toLocalIterator(), key=lambda r: r["doc_id"])
     y = np.array([r["quality"] for r in got])
     if not len(y) or len(set(y.tolist())) < 2:
         return None
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 6000) -> QualityMo
 def score(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     """The columns of ``docs`` with score (0 to 1) and predicted (1 from a score of 0.3) added.
 
-    A null text counts as empty; without a model every score is 0.5. Rows are judged each for itself; ``docs`` columns
+    A null text counts as empty; without a model every score is 0.5. Null and repeated ids change nothing: rows are judged each for itself; ``docs`` columns
     named score or predicted give way.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers

@@ -17,9 +17,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import pieces
+
 NONE = np.iinfo(np.int64).max
 
 
+#: Texts on which other rules than those of ``PieceModel`` show: compatibility forms, composition, blanks, bytes.
+PROBE = ["ﬁ ① Ａ ½ é ́x", "  two  blanks ", "a\tb\r\n\nc", "\u200b\u3000\u00a0x", "\x00\x01", "日本語 𝔘 🙂", "The quick brown fox, it's 12.5%!", "▁a▁▁b", ""]
+
+
 class PieceModel:
     """Ranks and merges of a sentencepiece BPE model, read from the library's own tables."""
 
@@ -42,8 +48,17 @@ class PieceModel:
         self.chars = chars
         self.mark = "▁"
         # A mark never follows another letter inside a piece, so a text may be cut before every run of marks.
-        assert not any(self.mark in p.lstrip(self.mark) for p in pieces)
+        if any(self.mark in p.lstrip(self.mark) for p in pieces):
+            raise ValueError(f"{path}: a piece goes over a blank")
         self.newline = "\n" not in chars
+        # Counted here are models of pairs with scores that take texts as they are, a blank put in front, and that fall
+        # back to bytes. Any other (normalising, user-defined pieces, unigrams) fails on this probe.
+        probe = [*PROBE, " ".join(sorted(pieces, key=len)[-200:]).replace(self.mark, " ")]
+        if self.counts_of(probe) != [len(x) for x in sp.encode(probe)]:
+            raise ValueError(f"{path}: not a byte-fallback pair model without normalisation")
+
+    def counts_of(self, texts: list[str]) -> list[int]:
+        return Counter(self)(texts)
 
     def _fill(self, keys: np.ndarray, merged: np.ndarray, ranks: np.ndarray, bits: int = 19) -> None:
         """Pairs in an open hash table (linear probing), sized so that nearly every look-up ends at its first slot."""
@@ -213,20 +228,18 @@ def token_counts(docs: DataFrame, model: str, max_tokens: int = 4096, text: str
 
     ``model`` names a sentencepiece BPE file; it is read where the rows are. A null text counts as empty: 0 bytes and
     0 tokens. Rows that share a key each give a row; other columns are ignored, whatever their names; an empty table
-    gives an empty result.
+    gives an empty result. Texts are counted in slices of about 1 MB (a longer one by itself).
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def count(batches):
         counter = counter_for(model)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
-                n = counter(texts)
-                over = pa.array([x > max_tokens for x in n], pa.bool_())
-                yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n, pa.int64()), over], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for part in pieces(batches, 1 << 20):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            size = pc.fill_null(pc.binary_length(part.column(1)), 0).cast(pa.int64())
+            n = counter(texts)
+            over = pa.array([x > max_tokens for x in n], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(0), size, pa.array(n, pa.int64()), over], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(count, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -72,6 +72,9 @@ def test_leaks(spark, block_bytes):
     assert all(not x["spans"] for x in find_leaks(clean, benchmark, 6).collect())
     assert find_leaks(frame(spark), benchmark.where("item_id < 0")).where("size(items) > 0").count() == 0
     assert find_leaks(frame(spark, []), benchmark).count() == 0
+    unnamed = spark.createDataFrame([*items, (None, rows[0][1][20:160])], "item_id bigint, text string")
+    found = {tuple(r["items"]) for r in find_leaks(frame(spark), unnamed, 6, block_bytes).collect()}
+    assert ("1", None) in found and ("1",) not in found
     assert remove_spans("A b, c! d", [(1, 3)]) == "A ! d" and remove_spans(None, [(0, 1)]) is None
 
 

@@ -31,6 +31,8 @@ def test_quality_odd(spark):
     assert out.count() == docs.count() and sorted(out.columns) == sorted(docs.columns)
     assert out.where("score IS NULL OR score < 0 OR score > 1").count() == 0
     assert quality.fit(docs, labels.where("quality = 1")) is None
+    more = labels.union(spark.createDataFrame([(9, 0), (9, 1)], "doc_id bigint, quality int"))  # both labels: neither counts
+    assert (quality.fit(docs, more).weights == model.weights).all()
     assert {r["score"] for r in quality.score(docs, None).collect()} == {0.5}
     assert quality.score(frame(spark, []), model).count() == 0
 
@@ -46,6 +48,8 @@ def test_language_held_out(spark):
 def test_language_odd(spark):
     docs = frame(spark)
     model = language_id.fit(docs)
+    again = language_id.fit(docs.unionByName(docs).where("lang IS NOT NULL"), per_language=5)
+    assert again.languages == model.languages
     got = {(r["doc_id"], r["lang_pred"]) for r in language_id.predict(docs, model).collect()}
     assert {(100, "und"), (101, "und"), (102, "und")} <= got
     assert all(p in ("en", "fr", "und") for _, p in got)
@@ -84,6 +88,24 @@ def test_nearest_exact_when_small(spark):
     assert nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
 
 
+def test_nearest_repeated_ids(spark):
+    """An id with several vectors shows once, at its best score; copies of a row change nothing."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.normal(size=8).tolist()) for i in range(60)]
+    rows += rows[:30] + [(7, (np.array(rows[0][1]) * (1 + k / 10)).tolist()) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<double>").repartition(3)
+    got = {}
+    for r in nearest(df, df.where("vec_id % 20 = 0"), k=10, pivots=64, prefix=8, share=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    asked = dict(rows[:60])
+    for q in (0, 20, 40):
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(best.get(i, -9e9), float(np.dot(v, asked[q])))
+        assert got[q] == [(i, round(s, 9)) for s, i in sorted((-s, i) for i, s in best.items())[:10] for s in [-s]]
+
+
 def test_nearest_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()

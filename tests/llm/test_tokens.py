@@ -74,6 +74,23 @@ def test_counter():
         assert c(part) == [len(x) for x in sp.encode(part)]
 
 
+def test_other_models(tmp_path):
+    """Models with other rules are refused, not miscounted: here the same pieces with NFKC folding put before them."""
+    import pytest
+    import sentencepiece
+
+    class Folding(sentencepiece.SentencePieceProcessor):
+        def encode(self, texts, **more):
+            import unicodedata
+
+            return super().encode([unicodedata.normalize("NFKC", t) for t in texts], **more)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(sentencepiece, "SentencePieceProcessor", Folding)
+        with pytest.raises(ValueError):
+            PieceModel(PIECE)
+
+
 def test_counts(spark):
     import sentencepiece
 
