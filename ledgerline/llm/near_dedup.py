@@ -26,6 +26,8 @@ BROADCAST_IDS = 1_000_000
 
 #: Nodes in a block of a gathered group; two blocks meet in a task.
 BLOCK = 4096
+#: Pairs that one node heads in a part.
+HEAD = 512
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -121,10 +123,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return picked.mapInArrow(collect, "node bigint, s1 bigint, members binary")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, sa, b, sb) whose full sets are as similar as wanted."""
-    sides = [sets.select(F.col("node").alias(x), F.col("s1").alias(f"s{x}"), F.col("members").alias(f"m{x}")) for x in "ab"]
-    rows = pairs.join(sides[0], ["a", "sa"]).join(sides[1], ["b", "sb"]).select("a", "b", "ma", "mb")
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (a, sa, b, sb) whose full sets are as similar as wanted.
+
+    A node that heads more than HEAD pairs has them dealt to as many parts, and its set copied to each part.
+    """
+    parts = scratch.table(pairs.groupBy("a", "sa").agg(F.ceil(F.count("*") / HEAD).cast("int").alias("parts")).where("parts > 1"), f"{name}-parts")
+    dealt = pairs.join(parts, ["a", "sa"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b", "sb"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    whole = sets.select(F.col("node").alias("a"), F.col("s1").alias("sa"), F.col("members").alias("ma"))
+    copies = whole.join(parts, ["a", "sa"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    other = sets.select(F.col("node").alias("b"), F.col("s1").alias("sb"), F.col("members").alias("mb"))
+    rows = dealt.join(copies, ["a", "sa", "part"]).join(other, ["b", "sb"]).select("a", "b", "ma", "mb")
 
     def test(batches):
         for batch in batches:
@@ -141,27 +150,26 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of groups ``g`` dealt to tasks (g, i, j): a group of more than BLOCK nodes is cut into blocks by hash of the
-    node, and each two blocks (and each with itself) make a task."""
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(*rows.columns, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """Rows of groups ``g`` dealt to tasks (g, i, j). The group's main component is settled within itself: the others are
+    cut into blocks of about BLOCK nodes by hash of the node, the main one into blocks after those, and every two blocks of
+    others (and each with itself) and every block of others with one of the main component make a task. So a row of the
+    main component is copied once for each block of others, which are few, and never for the main component's own size."""
+    rows = rows.withColumn("main", (F.col("c") == F.col("g")).cast("int"))
+    count = lambda main: F.ceil(F.count_if(F.col("main") == main) / BLOCK).cast("int")
+    sizes = rows.groupBy("g").agg(count(0).alias("others"), count(1).alias("mains")).where("others > 0")
+    hashed = F.xxhash64("node")
+    own = F.when(F.col("main") == 1, F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others"))).cast("int")
+    last = F.col("others") + F.when(F.col("main") == 1, F.lit(0)).otherwise(F.col("mains")) - 1
+    dealt = rows.join(sizes, "g").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    dealt = dealt.select(*[c for c in rows.columns if c != "main"], "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     # Dealt anew by block: partitioned by group alone, all blocks of a group would run in one task.
     return dealt.repartition("g", "i", "j")
 
 
 def _opposite(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The components of a task's rows, the rows to try, and which rows belong to the second block (all, if it is one)."""
-    c = table.column("c").to_numpy()
-    own, j = table.column("own").to_numpy(), table.column("j").to_numpy()
-    second = own == j
-    first = own == table.column("i").to_numpy()
-    if first.all() and second.all():
-        # Pairs within the largest component are settled; the rows of all others try everything.
-        name, size = np.unique(c, return_counts=True)
-        first = c != name[size.argmax()]
-    return c, np.flatnonzero(first), second
+    """The components of a task's rows, the rows to try (the first block's), and which rows they are tried on."""
+    own = table.column("own").to_numpy()
+    return table.column("c").to_numpy(), np.flatnonzero(own == table.column("i").to_numpy()), own == table.column("j").to_numpy()
 
 
 def _sift_block(table: pa.Table, percent: int, limit: int) -> pa.Table:
@@ -270,28 +278,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift:
     shared = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
     ties = scratch.table(member.join(shared, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "ties")
 
+    # Heads bring their size and sketch with them to the buckets, so that no pair has to look a busy head up.
+    light = nodes.select("node", "s1", "n", "sketch")
     buckets = nodes.select("node", "s1", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min(F.struct("node", "s1")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    crowd = scratch.table(buckets.join(heads.select("band", "head"), "band").select("band", "node", "s1", "head"), "crowd")
-
-    light = [nodes.select(*[F.col(c).alias(f"{c}_{x}") for c in ("node", "s1", "n", "sketch")]) for x in "ab"]
-    flips = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH_LONGS))
-    alike = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (flips <= flips_at(sift))
-    ends = ["node_a", "s1_a", "node_b", "s1_b"]
+    heads = heads.select("band", "head.node", "head.s1").join(light, ["node", "s1"])
+    heads = scratch.table(heads.select("band", F.struct("node", "s1", "n", "sketch").alias("head")), "heads")
+    crowd = scratch.table(buckets.join(heads.select("band"), "band", "left_semi"), "crowd")
 
-    def sifted(pairs: DataFrame) -> DataFrame:
-        return pairs.select(*ends).distinct().join(light[0], ends[:2]).join(light[1], ends[2:]).where(alike).select(*ends)
+    flips = sum(F.bit_count(F.col("head.sketch")[k].bitwiseXOR(F.col("sketch")[k])) for k in range(SKETCH_LONGS))
+    alike = (100 * F.least("head.n", "n") >= percent * F.greatest("head.n", "n")) & (flips <= flips_at(sift))
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.table(pairs.toDF("a", "sa", "b", "sb"), f"{name}-pairs")
+        pairs = scratch.table(pairs, f"{name}-pairs")
         ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         sets = scratch.table(_sets(rows, ids, shingle), f"{name}-sets")
-        out = scratch.table(_confirm(pairs, sets.dropDuplicates(["node", "s1"]), percent), f"{name}-edges")
-        scratch.drop(f"{name}-sets", f"{name}-pairs")
+        out = scratch.table(_confirm(pairs, scratch.table(sets.dropDuplicates(["node", "s1"]), f"{name}-once"), percent, scratch, name), f"{name}-edges")
+        scratch.drop(f"{name}-sets", f"{name}-pairs", f"{name}-once", f"{name}-parts")
         return out
 
-    star = crowd.where("node <> head.node OR s1 <> head.s1").select(F.col("head.node").alias("node_a"), F.col("head.s1").alias("s1_a"), F.col("node").alias("node_b"), F.col("s1").alias("s1_b"))
-    edges = confirmed(sifted(star), "star").unionByName(ties)
+    star = crowd.join(heads, "band").where("node <> head.node OR s1 <> head.s1").join(light, ["node", "s1"]).where(alike)
+    star = star.select(F.col("head.node").alias("a"), F.col("head.s1").alias("sa"), F.col("node").alias("b"), F.col("s1").alias("sb")).distinct()
+    edges = confirmed(star, "star").unionByName(ties)
     found = scratch.table(components(edges, scratch, "star"), "components-star")
     # Buckets that still span several components, by their main one.
     placed = crowd.join(found, "node", "left").select("band", "node", "s1", F.coalesce("component", "node").alias("c"))
@@ -307,7 +315,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, sift:
     more = scratch.table(whole.groupBy("g", "i", "j").applyInArrow(lambda t: _link_block(t, percent), "a bigint, b bigint"), "open-edges")
     if not more.isEmpty():
         found = scratch.table(components(edges.unionByName(more), scratch, "all"), "components-all")
-    scratch.drop("crowd", "gathered", "open", "open-sets")
+    scratch.drop("crowd", "heads", "gathered", "open", "open-sets")
     named = member.dropDuplicates(["doc_id"]).join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
