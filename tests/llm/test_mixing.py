@@ -191,6 +191,42 @@ def test_pipeline(spark, sf):
             assert sorted((r["doc_id"], r["n_tokens"]) for r in after) == sorted((r["doc_id"], n[r["doc_id"]]) for r in before)
         before = after
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, kept["token_output"]))
+    starts = sorted((r["start"], r["n_tokens"]) for r in kept["token_output"])
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+
+
+def test_stages_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeats, long and empty texts, columns with the names that the stages use inside; then empty tables."""
+    from ledgerline.llm.common import Scratch
+
+    scratch, clash = Scratch(spark, "odd"), ["place", "places", "row", "copy", "predicted", "score"]
+    rows = documents() + [(None, "no id at all", "en", "s0", 5)]
+    odd = frame(spark, rows).withColumns({c: F.lit(f"own {c}") for c in clash})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = scratch.table(stage(spark, odd, sf), f"odd-{k}")
+        assert out.columns == odd.columns
+        kept = out.collect()
+        assert kept and all(r[c] == f"own {c}" for r in kept for c in clash)
+        if name in ("decontamination", "mixing"):
+            assert {r["doc_id"] for r in kept} == {r[0] for r in rows}
+            assert len(kept) >= len(rows)
+    assert corpus_pipeline.token_output(spark, odd, sf).count() == len(rows)
+    none = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 0")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = scratch.table(stage(spark, none, sf), f"none-{k}")
+        assert out.count() == 0 and (name == "token_output" or out.columns == none.columns)
+
+
+def test_order_of_the_mix(spark, sf):
+    """The output holds the documents in the order of blocks and slots."""
+    from ledgerline.llm.common import Scratch
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lengths = corpus_pipeline.token_lengths(docs, corpus_pipeline.tokenizer(corpus_pipeline.VOCABULARY))
+    want = [r["doc_id"] for r in mix(lengths, F.col("n_tokens"), max_repeats=1.5).orderBy("block", "slot").collect()]
+    mixed = Scratch(spark, "order").table(corpus_pipeline.mixing(spark, docs, sf), "mixed")
+    assert [r["doc_id"] for r in corpus_pipeline.token_output(spark, mixed, sf).orderBy("start").collect()] == want
+    assert want != sorted(want) and len(want) > docs.count()
 
 
 def test_sql(spark, sf):
