@@ -136,3 +136,31 @@ def first_case(rules: list[tuple[Column, object]], otherwise=None) -> Column:
     for test, value in rules:
         out = F.when(test, value) if out is None else out.when(test, value)
     return out.otherwise(otherwise)
+
+
+#: Letters of a report's form in file names and the period it covers.
+FORMS = {"a": "annual", "s": "semi", "q": "quarterly"}
+
+
+def report_name(name: Column) -> Column:
+    """Struct ticker, period_end, form, submission, announced of a flash report's file name (the summary's name has neither
+    period nor number); null if it is none."""
+    full = r"tse-([asq])[cn]ed(?:jp|if|us)[a-z]{2}-([0-9A-Z]{4,5})-(\d{4}-\d{2}-\d{2})-(\d{2})-(\d{4}-\d{2}-\d{2})"
+    short = r"tse-([asq])[cn]ed(?:jp|if|us)s[a-z]-([0-9A-Z]{4,5})-(\d{8})[0-9A-Z]+-ixbrl"
+    part = lambda p, k: F.nullif(F.regexp_extract(name, p, k), F.lit(""))
+    form = F.coalesce(part(full, 1), part(short, 1))
+    period = F.coalesce(*[F.when(form == k, v) for k, v in FORMS.items()])
+    said = F.coalesce(part(full, 5), F.date_format(F.try_to_date(part(short, 3), "yyyyMMdd"), "yyyy-MM-dd"))
+    return F.when(form.isNotNull(), F.struct(F.left(F.coalesce(part(full, 2), part(short, 2)), F.lit(4)).alias("ticker"), part(full, 3).alias("period_end"), period.alias("form"), part(full, 4).try_cast("int").alias("submission"), said.alias("announced")))
+
+
+def quarter_key(year: Column, month: Column, end_month: int) -> Column:
+    """Key of a quarterly slot, ``{fy}_Q{n}``; null for the fourth quarter, which is the annual slot."""
+    q = fiscal_quarter(month, end_month)
+    return F.when(q <= 3, F.concat(fiscal_year(year, month, end_month).cast("string"), F.lit("_Q"), q.cast("string")))
+
+
+def any_date(text: Column) -> Column:
+    """A date written with hyphens, slashes or as eight digits; null for anything else."""
+    t = F.trim(text)
+    return F.coalesce(F.try_to_date(t, "yyyy-MM-dd"), F.try_to_date(t, "yyyy/MM/dd"), F.try_to_date(t, "yyyyMMdd"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import first_case, present
+from ledgerline.functions.scalars import exact, first_case, present
 from ledgerline.operators.merge import core_count
 
 
@@ -30,7 +30,7 @@ def foreign_ordinary_income(facts: DataFrame, key: str) -> DataFrame:
 def component_sum(facts: DataFrame, key: str, tags: list[str], name: str) -> DataFrame:
     """Sum of the listed tags at the current instant; null (no row) without any."""
     rows = facts.where(F.col("tag").isin(tags) & F.col("context").contains("Instant") & ~F.col("context").startswith("Prior") & F.col("value").isNotNull())
-    return rows.groupBy(key).agg(F.sum("value").alias(name))
+    return rows.groupBy(key).agg(F.sum(exact(F.col("value"))).cast("double").alias(name))
 
 
 def larger_override(value: Column, trigger: Column, other: Column) -> Column:
@@ -82,12 +82,31 @@ def whole_company(segments: DataFrame, store: DataFrame, keys: list[str], label:
     return segments.unionByName(alone.select(*segments.columns))
 
 
+#: The 47 prefectures.
+PREFECTURES = (
+    "北海道 青森県 岩手県 宮城県 秋田県 山形県 福島県 茨城県 栃木県 群馬県 埼玉県 千葉県 東京都 神奈川県 新潟県 富山県 石川県 福井県 山梨県 長野県 岐阜県 静岡県 愛知県 三重県 "
+    "滋賀県 京都府 大阪府 兵庫県 奈良県 和歌山県 鳥取県 島根県 岡山県 広島県 山口県 徳島県 香川県 愛媛県 高知県 福岡県 佐賀県 長崎県 熊本県 大分県 宮崎県 鹿児島県 沖縄県"
+).split()
+#: The cities designated by ordinance, by prefecture.
+DESIGNATED = {
+    "北海道": ["札幌市"], "宮城県": ["仙台市"], "埼玉県": ["さいたま市"], "千葉県": ["千葉市"], "神奈川県": ["横浜市", "川崎市", "相模原市"], "新潟県": ["新潟市"], "静岡県": ["静岡市", "浜松市"],
+    "愛知県": ["名古屋市"], "京都府": ["京都市"], "大阪府": ["大阪市", "堺市"], "兵庫県": ["神戸市"], "岡山県": ["岡山市"], "広島県": ["広島市"], "福岡県": ["北九州市", "福岡市"], "熊本県": ["熊本市"],
+}
+
+
 def address_parts(text: Column) -> tuple[Column, Column]:
-    """Prefecture and city of a Japanese address, by ordered patterns; null where none fits."""
-    prefecture = F.nullif(F.regexp_extract(text, r"(北海道|東京都|京都府|大阪府|.{2,3}?県)", 1), F.lit(""))
-    rest = F.regexp_replace(text, r"^.*?(北海道|東京都|京都府|大阪府|.{2,3}?県)", "")
-    patterns = [r"^(.{1,6}?市.{1,4}?区)", r"^(.{1,6}?市)", r"^(.{1,4}?区)", r"^(.{1,6}?郡.{1,6}?[町村])", r"^(.{1,6}?[町村])"]
-    return prefecture, F.coalesce(*[F.nullif(F.regexp_extract(rest, p, 1), F.lit("")) for p in patterns])
+    """Prefecture and city of a Japanese address; null where none stands at its beginning. Blanks and what says "and
+    others" go; a designated city that comes first brings its prefecture. The city is the shortest beginning that ends a
+    city's ward, a ward, a city, a county's town, a town, a county's village or a village, in this order."""
+    t = F.regexp_replace(F.regexp_replace(text, r"[\u3000\s]", ""), r"(ほか|外|他).*$|等$", "")
+    home = F.coalesce(*[F.when(F.regexp_extract(t, f"^({'|'.join(cities)})", 1) != "", p) for p, cities in DESIGNATED.items()])
+    named = F.nullif(F.regexp_extract(t, f"^({'|'.join(PREFECTURES)})", 1), F.lit(""))
+    # 千葉市 and the like begin with no prefecture's whole name, so a name that is there stands.
+    prefecture = F.coalesce(named, home)
+    rest = F.when(named.isNotNull(), F.substr(t, F.length(named) + 1)).otherwise(t)
+    ends = ["市.+?区", "区", "市", "郡.+?町", "町", "郡.+?村", "村"]
+    city = F.coalesce(*[F.nullif(F.regexp_extract(rest, f"^(.+?{e})", 1), F.lit("")) for e in ends])
+    return prefecture, F.when(prefecture.isNotNull(), city)
 
 
 def foreign_address(text: Column, markers: list[str]) -> Column:
@@ -101,3 +120,30 @@ def foreign_address(text: Column, markers: list[str]) -> Column:
 def merged_digits(values: Column, limit: float = 1e15) -> Column:
     """Whether an array of figures holds one too large to be true."""
     return F.exists(values, lambda x: F.coalesce(x > limit, F.lit(False)))
+
+
+def renamed(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Each field from the first of its aliases that the table has and the row fills; the aliases go."""
+    gone = {a for names in aliases.values() for a in names}
+    picks = [F.coalesce(*[F.col(a) for a in names if a in df.columns], F.lit(None)).alias(f) for f, names in aliases.items()]
+    return df.select(*[c for c in df.columns if c not in gone and c not in aliases], *picks)
+
+
+def instant_or_duration(df: DataFrame, instant: list[str], duration: list[str]) -> DataFrame:
+    """Figures read at both kinds of context (``x_instant``, ``x_duration``): the field's own kind first, a zero giving way
+    to the other kind."""
+    both = {f: (f"{f}_instant", f"{f}_duration") for f in instant} | {f: (f"{f}_duration", f"{f}_instant") for f in duration}
+    return df.withColumns({f: F.coalesce(present(F.col(a)), F.col(b)) for f, (a, b) in both.items()}).drop(*[c for pair in both.values() for c in pair])
+
+
+def merge_sheets(sheets: list[tuple[str, DataFrame]], keys: list[str], without: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key from several sheets: a field comes from the last sheet that fills it, and once more under the sheet's
+    name; fields that end in one of ``without`` are left out."""
+    out, fields = None, []
+    for name, df in sheets:
+        own = [c for c in df.columns if c not in keys and not c.endswith(without or ("\0",))]
+        fields += [c for c in own if c not in fields]
+        side = df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in own])
+        out = side if out is None else out.join(side, keys, "full_outer")
+    last = lambda c: F.coalesce(*[F.col(f"{n}_{c}") for n, _ in reversed(sheets) if f"{n}_{c}" in out.columns])
+    return out.withColumns({c: last(c) for c in fields})

@@ -57,12 +57,15 @@ def trend_map(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.map_from_entries(pairs).alias("trend"), F.max(year).alias("latest"), F.count("*").alias("years"))
 
 
-def shares(df: DataFrame, category: str, company: str, value: str) -> DataFrame:
-    """Each company's share and place in its category (0 where the category's total is not positive)."""
-    w = Window.partitionBy(category)
-    total = F.sum(value).over(w)
-    out = df.withColumn("share", F.when(total > 0, F.col(value) / total).otherwise(0.0))
-    return out.withColumn("place", F.row_number().over(w.orderBy(F.desc(value), company)))
+def shares(df: DataFrame, category: str, company: str, value: str, top: int = 5) -> DataFrame:
+    """Each company's share in its category (0 where the category's total is not positive), and the place of the first
+    ``top`` (null beyond). Totals are sums that combine before the shuffle, and only the first rows of each partition's
+    part of a category are ranked, so no category is gathered in one task."""
+    total = df.groupBy(category).agg(F.sum(exact(F.col(value))).cast("double").alias("_t"))
+    out = df.join(total, category).withColumn("share", F.when(F.col("_t") > 0, F.col(value) / F.col("_t")).otherwise(0.0)).drop("_t")
+    w = Window.partitionBy(category).orderBy(F.desc(value), company)
+    first = df.select(category, company, value).withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+    return out.join(first.select(category, company, "place"), [category, company], "left")
 
 
 def concentration(shared: DataFrame, category: str, value: str) -> DataFrame:
@@ -70,3 +73,9 @@ def concentration(shared: DataFrame, category: str, value: str) -> DataFrame:
     fixed = lambda x: x.cast("decimal(18,12)")  # noqa: E731  sums that do not depend on the order of rows
     top = lambda n: F.sum(fixed(F.when(F.col("place") <= n, F.col("share")).otherwise(0.0))).cast("double")
     return shared.groupBy(category).agg(F.sum(exact(F.col(value))).cast("double").alias("total"), F.count("*").alias("companies"), (F.sum(fixed(F.col("share") * F.col("share"))).cast("double") * 10000).alias("hhi"), top(1).alias("top1"), top(3).alias("top3"), top(5).alias("top5"))
+
+
+def matrix(df: DataFrame, company: str, category: str, value: str) -> DataFrame:
+    """Each company's sums by category, as a map in order of categories."""
+    cells = df.groupBy(company, category).agg(F.sum(value).alias("_v"))
+    return cells.groupBy(company).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(category, "_v")))).alias("matrix"))

@@ -31,6 +31,32 @@ def canonical_values(facts: DataFrame, tag_map: DataFrame, keys: list[str]) -> D
     return named.groupBy(*keys, "field").agg(F.min_by("value", F.struct("priority", "ordinal")).alias("value"))
 
 
+def first_positive(facts: DataFrame, tags: list[str], keys: list[str], name: str) -> DataFrame:
+    """The value of the first listed tag that is above 0; priorities do not count, a text that is no number is passed by."""
+    order = F.array_position(F.array(*[F.lit(t) for t in tags]), F.col("tag"))
+    return best_value(facts.where((order > 0) & (F.col("value") > 0)), keys, F.col("value"), [order, F.col("value")], name)
+
+
+def current_values(facts: DataFrame, tag_map: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, value) as ``canonical_values``, from contexts of the current year alone and of the field's kind:
+    Instant where the map's ``instant`` says so, else Duration."""
+    kind = F.when(F.col("instant"), F.contains("context", F.lit("Instant"))).otherwise(F.contains("context", F.lit("Duration")))
+    named = facts.where(F.col("value").isNotNull() & F.contains("context", F.lit("CurrentYear"))).join(tag_map, "tag").where(kind)
+    return named.groupBy(*keys, "field").agg(F.min_by("value", F.struct("priority", "ordinal", "value")).alias("value"))
+
+
+#: Orders in which namespaces and units are tried.
+NAMESPACES, UNITS = ["us-gaap", "ifrs-full"], ["USD", "shares", "USD/shares", "pure"]
+
+
+def concept_values(values: DataFrame, concepts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, field, value) of company facts (tag, namespace, unit, value): a field's tags in list order, of each the first
+    namespace that has it, then the units in order. ``concepts`` is (field, tag, ordinal)."""
+    place = lambda c, order: F.array_position(F.array(*[F.lit(x) for x in order]), F.col(c))
+    rows = values.where(F.col("value").isNotNull()).join(concepts, "tag").withColumns({"_n": place("namespace", NAMESPACES), "_u": place("unit", UNITS)}).where("_n > 0 AND _u > 0")
+    return rows.groupBy(*keys, "field").agg(F.min_by("value", F.struct("ordinal", "_n", "_u", "value")).alias("value"))
+
+
 def context_rank(context: Column, patterns: list[str], allow_parent_only: bool = False) -> Column:
     """Place of the first pattern that the context contains; null for prior, segment and parent-only contexts. Contexts
     that match no pattern come last."""

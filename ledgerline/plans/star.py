@@ -83,36 +83,33 @@ def market_share_hhi(spark, d):
     edges = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
     above = tree.closure(tree.layout(edges)).select("ancestor", F.col("id").alias("n_name"))
     sold = by_supplier(spark, d).join(table(spark, d, "supplier"), "s_suppkey").join(nation, F.col("n_nationkey") == F.col("s_nationkey"))
-    rows = sold.join(above, "n_name").select(F.col("ancestor").alias("category"), F.col("s_name").alias("company"), S.exact(F.col("revenue")).alias("dec"), "revenue")
-    w = Window.partitionBy("category")
-    total = F.sum("dec").over(w).cast("double")
-    shared = rows.withColumn("share", F.when(total > 0, F.col("revenue") / total).otherwise(0.0))
-    shared = shared.withColumn("place", F.row_number().over(w.orderBy(F.desc("revenue"), "company")))
-    return measures.concentration(shared, "category", "revenue")
+    rows = sold.join(above, "n_name").select(F.col("ancestor").alias("category"), F.col("s_name").alias("company"), "revenue")
+    return measures.concentration(measures.shares(rows, "category", "company", "revenue"), "category", "revenue")
 
 
 @query("""
-SELECT s_name, {cols} FROM (
-  SELECT s_name, p_brand, CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4)) AS rev
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey) GROUP BY s_name
-""".format(cols=", ".join(f"CAST(sum(rev) FILTER (WHERE p_brand = 'Brand#{k}') AS DOUBLE) AS brand_{k}" for k in range(1, 6))))
+SELECT s_name, list_sort(list(p_brand || '=' || CAST(CAST(rev AS DECIMAL(28,4)) AS VARCHAR))) AS matrix FROM (
+  SELECT s_name, p_brand, sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))) AS rev
+  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) GROUP BY s_name
+""".replace("list_sort(list(", "array_to_string(list_sort(list(").replace("VARCHAR)))", "VARCHAR))), ';')"))
 def company_category_matrix(spark, d):
-    """Supplier by brand (five brands as columns)."""
+    """Supplier by brand, every brand of the table: a row's cells by category, so that new ones need no new columns."""
     li = table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.sum(revenue()).alias("rev"))
     rows = li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
-    out = rows.groupBy("s_name").pivot("p_brand", [f"Brand#{k}" for k in range(1, 6)]).agg(F.sum("rev").cast("double"))
-    return out.select("s_name", *[F.col(f"`Brand#{k}`").alias(f"brand_{k}") for k in range(1, 6)])
+    m = measures.matrix(rows, "s_name", "p_brand", "rev")
+    cells = F.transform(F.map_entries("matrix"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("decimal(28,4)").cast("string")))
+    return m.select("s_name", F.array_join(F.array_sort(cells), ";").alias("matrix"))
 
 
 @query("""
-SELECT o_custkey, arg_min(o_totalprice, {'p': CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 'k': o_orderkey}) AS value,
-       arg_min(o_orderpriority, {'p': CAST(substr(o_orderpriority, 1, 1) AS INTEGER), 'k': o_orderkey}) AS tag
-FROM orders WHERE o_totalprice IS NOT NULL GROUP BY o_custkey""")
+WITH v AS (SELECT o_custkey, o_orderpriority AS tag, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+m(field, tag, priority, ordinal) AS (VALUES ('amount', '1-URGENT', 1, 1), ('amount', '2-HIGH', 1, 0), ('amount', '5-LOW', 3, 2), ('rest', '3-MEDIUM', 2, 0))
+SELECT o_custkey, field, arg_min(value, priority * 10 + ordinal) AS value FROM v JOIN m USING (tag) GROUP BY 1, 2""")
 def priority_coalesce(spark, d):
-    """Per customer the order value whose priority tag ranks first, ties by key."""
-    o = table(spark, d, "orders").where("o_totalprice IS NOT NULL")
-    order = F.struct(F.left("o_orderpriority", F.lit(1)).cast("int"), "o_orderkey")
-    return o.groupBy("o_custkey").agg(F.min_by("o_totalprice", order).alias("value"), F.min_by("o_orderpriority", order).alias("tag"))
+    """Per customer and field the largest order of the tag that ranks first, list order between equals."""
+    facts = table(spark, d, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("tag")).agg(F.max("o_totalprice").alias("value"))
+    tags = spark.createDataFrame([("amount", "1-URGENT", 1, 1), ("amount", "2-HIGH", 1, 0), ("amount", "5-LOW", 3, 2), ("rest", "3-MEDIUM", 2, 0)], "field string, tag string, priority int, ordinal int")
+    return select.canonical_values(facts, tags, ["o_custkey"])
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1")
@@ -251,9 +248,9 @@ def audit_by_date(spark, d):
     return audit.by_date(audited(spark, d), "o_orderdate", "o_custkey", F.col("status") != "MISSING").withColumn("problems", F.array_join(F.col("problems").cast("array<string>"), ","))
 
 
-@query(f"WITH {STATUS} SELECT bad, unverified, rows, CASE WHEN bad > 0 THEN 'FAIL' WHEN unverified > 0 THEN 'PASS_PARTIAL' ELSE 'PASS' END AS verdict FROM (SELECT count(*) FILTER (WHERE status = 'X') AS bad, count(*) FILTER (WHERE status = 'MISSING') AS unverified, count(*) AS rows FROM au)")
+@query(f"WITH {STATUS} SELECT bad, unverified, rows, CASE WHEN bad > 0 THEN 'FAIL' WHEN unverified > 0 THEN 'PASS_PARTIAL' ELSE 'PASS' END AS verdict FROM (SELECT count(*) FILTER (WHERE status = 'R') AS bad, count(*) FILTER (WHERE status = 'MISSING') AS unverified, count(*) AS rows FROM au)")
 def audit_verdict(spark, d):
-    out = audit.verdict(audited(spark, d), F.col("status") == "X", F.col("status") == "MISSING")
+    out = audit.verdict(audited(spark, d), F.col("status") == "R", F.col("status") == "MISSING")
     return out.select(F.col("bad").cast("bigint"), F.col("unverified").cast("bigint"), "rows", "verdict")
 
 
@@ -527,7 +524,7 @@ def tree_layout(spark, d):
     n, s = table(spark, d, "nation"), table(spark, d, "supplier")
     up = n.join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
     down = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("parent"), F.col("s_name").alias("child"))
-    return tree.layout(up.unionByName(down))
+    return tree.layout(up.unionByName(down)).drop("ids")
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
