@@ -1,39 +1,11 @@
-"""Derived figures: ratios, growth, trends, and market shares."""
+"""Growth, trends, and market shares."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.scalars import exact, present, ratio
-
-#: Ratio name -> (numerator, denominator, factor); absent columns give no ratio.
-RATIOS = {
-    "roe": ("net_income", "total_equity", 100), "roa": ("net_income", "total_assets", 100),
-    "operating_margin": ("operating_income", "revenue", 100), "net_margin": ("net_income", "revenue", 100), "gross_margin": ("gross_profit", "revenue", 100),
-    "equity_ratio": ("total_equity", "total_assets", 100), "current_ratio": ("current_assets", "current_liabilities", 100),
-    "debt_to_equity": ("interest_bearing_debt", "total_equity", 1), "asset_turnover": ("revenue", "total_assets", 1),
-    "inventory_days": ("inventories", "cost_of_sales", 365), "receivable_days": ("receivables", "revenue", 365), "payable_days": ("payables", "cost_of_sales", 365),
-    "interest_coverage": ("operating_income", "interest_expense", 1), "payout_ratio": ("dividends_paid", "net_income", 100), "capex_ratio": ("capex", "revenue", 100),
-}
-
-
-def derived(df: DataFrame, market: str = "jp") -> DataFrame:
-    """All ratios whose columns are there, with free cash flow, EBITDA and the cash conversion cycle. Always recomputed
-    from base columns; zero denominators give null. Free cash flow adds investing flows (jp) or takes off capex (us)."""
-    have = set(df.columns)
-    out = {n: ratio(F.col(a), F.col(b), f) for n, (a, b, f) in RATIOS.items() if {a, b} <= have}
-    if {"operating_cf", "investing_cf"} <= have and (market == "jp" or "capex" not in have):
-        out["free_cash_flow"] = F.col("operating_cf") + F.col("investing_cf")
-    elif {"operating_cf", "capex"} <= have:
-        out["free_cash_flow"] = F.col("operating_cf") - F.abs("capex")
-    if {"operating_income", "depreciation"} <= have:
-        out["ebitda"] = F.col("operating_income") + F.col("depreciation")
-    df = df.withColumns(out)
-    if {"inventory_days", "receivable_days", "payable_days"} <= set(df.columns):
-        df = df.withColumn("cash_cycle", F.col("inventory_days") + F.col("receivable_days") - F.col("payable_days"))
-    return df
-
+from ledgerline.functions.scalars import exact, present
 
 def yoy(df: DataFrame, key: str, year: str, value: str) -> DataFrame:
     """Growth on the year before, in per cent of its magnitude; null where that year is missing."""

@@ -136,13 +136,6 @@ def annual_value_pick(spark, d):
     return select.annual_value(e, ["l_orderkey"]).select("l_orderkey", "days", "annual", "value")
 
 
-@query(f"""WITH {NATION_YEARS}
-SELECT nation, year, (revenue - cost) / nullif(revenue, 0) * 100 AS gross_margin, revenue / nullif(cost, 0) * 1 AS cost_cover, quantity / nullif(CAST(lines AS DOUBLE), 0) * 1 AS per_line FROM ny""")
-def derived_ratios(spark, d):
-    x = nation_years(spark, d).withColumn("profit", F.col("revenue") - F.col("cost"))
-    return x.select("nation", "year", S.ratio(F.col("profit"), F.col("revenue"), 100).alias("gross_margin"), S.ratio(F.col("revenue"), F.col("cost")).alias("cost_cover"), S.ratio(F.col("quantity"), F.col("lines")).alias("per_line"))
-
-
 @query(f"""WITH {NATION_YEARS}
 SELECT a.nation, a.year, a.revenue, b.revenue AS prev, (a.revenue - b.revenue) / nullif(abs(b.revenue), 0) * 100 AS yoy
 FROM ny a LEFT JOIN ny b ON a.nation = b.nation AND b.year = a.year - 1""")

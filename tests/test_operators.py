@@ -8,7 +8,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators import audit, checks, measures, merge, select, spatial, text, tree
+from ledgerline.operators import audit, checks, measures, merge, select, spatial, statements, text, tree
 from ledgerline.sources import filings
 from ledgerline.streaming import upsert
 
@@ -68,7 +68,7 @@ def test_measures(spark):
     assert [r["prev"] for r in measures.yoy(df, "k", "y", "v").orderBy("y").collect()] == [None, 100.0, None]
     assert abs(measures.cagr(df, "k", "y", "v", 2).first()["cagr"] - 4.8808848) < 1e-6
     x = spark.createDataFrame([(10.0, 0.0, 5.0)], "net_income double, total_equity double, revenue double")
-    assert measures.derived(x).first()["roe"] is None and measures.derived(x).first()["net_margin"] == 200.0
+    assert statements.derive(x, "jp").first()["roe"] is None and statements.derive(x, "us").first()["net_margin"] == 200.0
 
 
 def test_time_window_join(spark):
