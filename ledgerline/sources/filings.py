@@ -7,33 +7,67 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FACTS = "path string, tag string, full_tag string, context string, unit string, decimals string, value double, value_text string, pos bigint"
+FACTS = "path string, tag string, full_tag string, context string, unit string, decimals string, value double, value_text string, pos bigint, period_start string, period_end string, error string"
+
+
+def path_parts(path: Column) -> Column:
+    """Struct year, doc_type, code, document of an archive's path ``.../{year}/{doc_type}/{code}_..._{document}....zip``."""
+    steps = F.split(path, "/")
+    name, blank = F.element_at(steps, -1), F.lit("")
+    return F.struct(
+        F.get(steps, F.size(steps) - 3).try_cast("int").alias("year"), F.get(steps, F.size(steps) - 2).alias("doc_type"),
+        F.nullif(F.regexp_extract(name, r"^([0-9A-Z]{4,5})_", 1), blank).alias("code"), F.nullif(F.regexp_extract(name, r"(S10[0-9][0-9A-Z]{4})", 1), blank).alias("document"),
+    )
 
 
 def archives(spark: SparkSession, root: str, modified_after: str | None = None) -> DataFrame:
-    """path, content and the parts of the name of every archive under ``root``: code, doc_type, document id."""
+    """path, content and the parts of the name of every archive under ``root``: year, doc_type, code, document."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
     if modified_after:
         reader = reader.option("modifiedAfter", modified_after)
-    name = F.element_at(F.split("path", "/"), -1)
-    return reader.load(root).select("path", "content", F.nullif(F.regexp_extract(name, r"^([0-9A-Z]{4,5})_", 1), F.lit("")).alias("code"), F.element_at(F.split("path", "/"), -2).alias("doc_type"), F.nullif(F.regexp_extract(name, r"(S10[0-9][0-9A-Z]{4})", 1), F.lit("")).alias("document"))
+    return reader.load(root).select("path", "content", path_parts(F.col("path")).alias("p")).select("path", "content", "p.*")
+
+
+#: Folders of a company's archives, in the order in which they are tried.
+FOLDERS, INTERIM = ["annual", "quarterly"], "interim"
+
+
+def preferred(files: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the archives of the first folder that has any (annual before quarterly), and the interim ones always."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in FOLDERS]), F.col("doc_type"))
+    ranked = files.withColumn("_r", rank)
+    best = ranked.where("_r > 0").groupBy(*keys).agg(F.min("_r").alias("_best"))
+    return ranked.join(best, keys, "left").where((F.col("_r") == F.col("_best")) | (F.col("doc_type") == INTERIM)).select(*files.columns)
+
+
+def _periods(root: ElementTree.Element) -> dict[str, tuple]:
+    """Context id -> (start, end) as written; an instant is its own end without a start."""
+    out = {}
+    for c in root.iter():
+        if c.tag.rpartition("}")[2] == "context" and c.get("id"):
+            found = {e.tag.rpartition("}")[2]: (e.text or "").strip() for e in c.iter()}
+            out[c.get("id")] = (found.get("startDate"), found.get("endDate") or found.get("instant"))
+    return out
 
 
-def parse_instance(content: bytes) -> list[dict]:
-    """Facts of one archive: the first instance under a public folder, else any; elements with a context reference."""
+def parse_instance(content: bytes) -> tuple[list[dict], str | None]:
+    """Facts of one archive, and why it could not be read: the first instance under a public folder, else any; elements
+    with a context reference, each with its context's period."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             names = sorted(n for n in z.namelist() if n.endswith(".xbrl"))
             names = [n for n in names if "PublicDoc" in n] or names
             if not names:
-                return []
+                return [], "no instance"
             root = ElementTree.fromstring(z.read(names[0]))
-    except (zipfile.BadZipFile, ElementTree.ParseError):
-        return []
-    out = []
+    except zipfile.BadZipFile:
+        return [], "no archive"
+    except ElementTree.ParseError:
+        return [], "no XML"
+    out, periods = [], _periods(root)
     for pos, e in enumerate(root.iter()):
         context = e.get("contextRef")
         if context is None:
@@ -44,20 +78,23 @@ def parse_instance(content: bytes) -> list[dict]:
         except ValueError:
             value = None
         space, _, local = e.tag.rpartition("}")
-        out.append({"tag": local, "full_tag": f"{space.lstrip('{')}:{local}", "context": context, "unit": e.get("unitRef"), "decimals": e.get("decimals"), "value": value, "value_text": text or None, "pos": pos})
-    return out
+        start, end = periods.get(context, (None, None))
+        out.append({"tag": local, "full_tag": f"{space.lstrip('{')}:{local}", "context": context, "unit": e.get("unitRef"), "decimals": e.get("decimals"), "value": value, "value_text": text or None, "pos": pos, "period_start": start, "period_end": end})
+    return out, None
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """One row a fact of the archives (path, content); unreadable archives give none."""
+    """One row a fact of the archives (path, content); an unreadable archive gives one row with its ``error`` and no fact."""
 
     def parse(batches):
-        schema = pa.schema([("path", pa.string()), ("tag", pa.string()), ("full_tag", pa.string()), ("context", pa.string()), ("unit", pa.string()), ("decimals", pa.string()), ("value", pa.float64()), ("value_text", pa.string()), ("pos", pa.int64())])
+        text = ("path", "tag", "full_tag", "context", "unit", "decimals")
+        schema = pa.schema([*[(n, pa.string()) for n in text], ("value", pa.float64()), ("value_text", pa.string()), ("pos", pa.int64()), ("period_start", pa.string()), ("period_end", pa.string()), ("error", pa.string())])
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [{"path": path, **f} for f in parse_instance(content)]
+                found, error = parse_instance(content)
+                rows = [{"path": path, "error": None, **f} for f in found] or ([{"path": path, "error": error}] if error else [])
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in schema.names} for r in rows], schema=schema)
 
     return files.select("path", "content").mapInArrow(parse, FACTS)
 
@@ -71,11 +108,17 @@ def inline_facts(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", attribute("name").alias("name"), attribute("contextRef").alias("context"), (number * sign * F.pow(F.lit(10.0), F.coalesce(attribute("scale").try_cast("double"), F.lit(0.0)))).alias("value"))
 
 
+_ENTRIES = "array<struct<fy:int,fp:string,start:date,end:date,filed:date,val:double>>"
+COMPANY_FACTS = f"cik bigint, facts map<string,map<string,struct<units:map<string,{_ENTRIES}>>>>"
+
+
 def company_facts(spark: SparkSession, path: str) -> DataFrame:
     """cik, namespace, tag, unit, fy, fp, start, end, filed, val from company facts in JSON, one company a file."""
-    entry = "array<struct<fy:int,fp:string,start:date,end:date,filed:date,val:double>>"
-    schema = f"cik bigint, facts map<string,map<string,struct<units:map<string,{entry}>>>>"
-    df = spark.read.schema(schema).option("multiLine", "true").json(path)
+    return fact_entries(spark.read.schema(COMPANY_FACTS).option("multiLine", "true").json(path))
+
+
+def fact_entries(df: DataFrame) -> DataFrame:
+    """The entries of parsed company facts (cik, facts), one row each."""
     df = df.select("cik", F.explode("facts").alias("namespace", "tags")).select("cik", "namespace", F.explode("tags").alias("tag", "t"))
     return df.select("cik", "namespace", "tag", F.explode("t.units").alias("unit", "entries")).select("cik", "namespace", "tag", "unit", F.inline("entries"))
 
@@ -92,8 +135,15 @@ def filing_index(df: DataFrame) -> DataFrame:
 
 def geo_points(spark: SparkSession, path: str, price: str, use: str) -> DataFrame:
     """lat, lon, price, use of a GeoJSON file's point features."""
-    schema = "features array<struct<geometry:struct<coordinates:array<double>>,properties:map<string,string>>>"
-    f = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("features").alias("f"))
+    return features(spark.read.schema(FEATURES).option("multiLine", "true").json(path), price, use)
+
+
+FEATURES = "features array<struct<geometry:struct<coordinates:array<double>>,properties:map<string,string>>>"
+
+
+def features(df: DataFrame, price: str, use: str) -> DataFrame:
+    """lat, lon, price, use of parsed feature collections."""
+    f = df.select(F.explode("features").alias("f"))
     return f.select(F.col("f.geometry.coordinates")[1].alias("lat"), F.col("f.geometry.coordinates")[0].alias("lon"), F.col("f.properties")[price].try_cast("double").alias("price"), F.col("f.properties")[use].alias("use"))
 
 

@@ -114,7 +114,7 @@ def test_tree(spark):
 def test_archives(spark, tmp_path):
     folder = tmp_path / "2024" / "annual"
     folder.mkdir(parents=True)
-    xml = '<xbrl xmlns:jp="urn:jp"><jp:Sales contextRef="CurrentYearDuration" unitRef="JPY" decimals="0">1,200</jp:Sales><jp:Name contextRef="FilingDate">Co</jp:Name></xbrl>'
+    xml = '<xbrl xmlns:jp="urn:jp"><context id="CurrentYearDuration"><period><startDate>2023-04-01</startDate><endDate>2024-03-31</endDate></period></context><jp:Sales contextRef="CurrentYearDuration" unitRef="JPY" decimals="0">1,200</jp:Sales><jp:Name contextRef="FilingDate">Co</jp:Name></xbrl>'
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         z.writestr("XBRL/PublicDoc/a.xbrl", xml)
@@ -122,8 +122,10 @@ def test_archives(spark, tmp_path):
     (folder / "9999_bad.zip").write_bytes(b"no archive")
     files = filings.archives(spark, str(tmp_path))
     assert {(r["code"], r["doc_type"], r["document"]) for r in files.collect()} == {("1234", "annual", "S100ABCD"), ("9999", "annual", None)}
-    got = {(r["tag"], r["value"], r["value_text"]) for r in filings.facts(files).collect()}
-    assert got == {("Sales", 1200.0, "1,200"), ("Name", None, "Co")}
+    got = {(r["tag"], r["value"], r["value_text"], r["period_start"], r["period_end"], r["error"]) for r in filings.facts(files).collect()}
+    assert got == {("Sales", 1200.0, "1,200", "2023-04-01", "2024-03-31", None), ("Name", None, "Co", None, None, None), (None, None, None, None, None, "no archive")}
+    kinds = spark.createDataFrame([("a", "annual"), ("a", "quarterly"), ("a", "interim"), ("b", "quarterly")], "code string, doc_type string")
+    assert sorted(map(tuple, filings.preferred(kinds, ["code"]).collect())) == [("a", "annual"), ("a", "interim"), ("b", "quarterly")]
 
 
 def test_company_facts(spark, tmp_path):
