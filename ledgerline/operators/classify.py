@@ -99,3 +99,51 @@ def densest(rows: DataFrame, key: str, position: str, score: Column, span: int,
     w = Window.partitionBy(key).orderBy(position).rowsBetween(0, span - 1)
     s = rows.withColumn("sum", F.sum(score).over(w)).where(F.col("sum") >= threshold)
     return s.groupBy(key).agg(F.max(F.struct("sum", position)).alias("m")).select(key, F.col(f"m.{position}").alias(position), F.col("m.sum").alias("sum"))
+
+
+def rerouted(rows: DataFrame, contexts: DataFrame, keys: list[str], doc: str, context: str, folder: Column) -> DataFrame:
+    """Annual slots (quarter null) of documents that have interim contexts and none of the current year, or that lie in an
+    interim folder, go to the second quarter's slot."""
+    bad = contaminated(contexts, doc, context).select(doc, F.lit(True).alias("_i"))
+    out = rows.join(bad, doc, "left")
+    half = F.col("quarter").isNull() & (F.coalesce("_i", F.lit(False)) | F.coalesce(folder, F.lit(False)))
+    return out.withColumn("quarter", F.when(half, 2).otherwise(F.col("quarter"))).drop("_i")
+
+
+def segment_sums(rows: DataFrame, key: str, measures: dict[str, tuple[str, float]], least: int = 2) -> DataFrame:
+    """Groups of ``least`` segments or more: for each measure (segment column -> total column, tolerance) the sum, its gap
+    to the total as a share, and whether that is under the tolerance; null where the total is missing or 0."""
+    from ledgerline.functions.scalars import exact
+
+    sums = [F.sum(exact(F.col(c))).cast("double").alias(f"{c}_sum") for c in measures] + [F.max(t).alias(t) for t, _ in measures.values()]
+    out = rows.groupBy(key).agg(F.count("*").alias("segments"), *sums).where(F.col("segments") >= least)
+    for c, (t, tolerance) in measures.items():
+        gap = F.abs(F.col(f"{c}_sum") - F.col(t)) / present(F.abs(F.col(t)))
+        out = out.withColumns({f"{c}_gap": gap, f"{c}_matches": gap < tolerance})
+    return out
+
+
+def verified_values(compared: DataFrame) -> DataFrame:
+    """The final value of each compared figure (a, b, status): the left one where both agree or the right is missing, else
+    the right one where the left is missing, else the left with low confidence."""
+    sure = F.when(F.col("status") == "exact", "high").when(F.col("status") == "close", "medium").otherwise("low")
+    return compared.withColumns({"value": F.coalesce("a", "b"), "confidence": sure})
+
+
+def industry_values(facts: DataFrame, tags: DataFrame, industry: str, keys: list[str]) -> DataFrame:
+    """(keys, field, value) by an industry's tag list (field, tag, industry, priority, ordinal, required, excluded): facts
+    whose tag and context hold a required word, if there are any, and no excluded one; lowest priority first, the
+    industry's own before those for all, then list order."""
+    about = F.lower(F.concat_ws(" ", "tag", "context"))
+    named = facts.where("value IS NOT NULL").join(tags.where(F.col("industry").isin(industry, "all")), "tag")
+    fits = (F.size("required") == 0) | F.exists("required", lambda w: F.contains(about, F.lower(w)))
+    fits = fits & ~F.exists("excluded", lambda w: F.contains(about, F.lower(w)))
+    order = F.struct("priority", (F.col("industry") == "all").cast("int"), "ordinal", "value")
+    return named.where(fits).groupBy(*keys, "field").agg(F.min_by("value", order).alias("value"))
+
+
+def method_counts(rows: DataFrame, method: str, failed: Column, key: str, most: int = 50) -> DataFrame:
+    """A run's summary: rows by method, and of the failed ones the first ``most`` keys."""
+    w = Window.partitionBy(method).orderBy(key)
+    some = rows.where(failed).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).groupBy(method).agg(F.sort_array(F.collect_list(key)).alias("failures"))
+    return rows.groupBy(method).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed")).join(some, method, "left")

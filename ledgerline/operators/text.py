@@ -98,6 +98,6 @@ def table_cells(pages: DataFrame) -> DataFrame:
 
 def number_mentions(docs: DataFrame) -> DataFrame:
     """doc_id, nth, value, unit: every figure with a unit in the text."""
-    found = F.regexp_extract_all("text", F.lit(r"([\d,]+(?:\.\d+)?\s*(?:%|兆円|億円|百万円|million|billion))"), 1)
+    found = F.regexp_extract_all("text", F.lit(r"(\d[\d,]*(?:\.\d+)?\s*(?:%|兆円|億円|百万円|million|billion))"), 1)
     rows = docs.select("doc_id", F.posexplode(found).alias("nth", "m"))
     return rows.select("doc_id", "nth", F.regexp_replace(F.regexp_extract("m", r"([\d,.]+)", 1), ",", "").try_cast("double").alias("value"), F.trim(F.regexp_extract("m", r"([^\d,.\s]+)$", 1)).alias("unit"))
