@@ -157,3 +157,90 @@ def markdown(df: DataFrame, title: str, most: int = 30) -> str:
     rows = df.limit(most).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
     return f"# {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + "\n"
+
+
+def statement_rows(df: DataFrame, column: str, fields: dict[str, list[str]]) -> DataFrame:
+    """code, name, year and the fields (in full units) of an API's rows in JSON: strings in thousands, Minguo years; a field
+    comes from the first of its names that is filled."""
+    from ledgerline.functions.scalars import parse_number
+    from ledgerline.operators.markets import gregorian
+
+    m = F.from_json(column, "map<string,string>")
+    value = lambda names: F.coalesce(*[parse_number(m[n]) for n in names]) * 1000
+    return df.select(m["公司代號"].cast("bigint").alias("code"), m["公司名稱"].alias("name"), gregorian(m["年度"].cast("int")).alias("year"), *[value(n).alias(f) for f, n in fields.items()])
+
+
+def flash_list(pages: DataFrame, keyword: str) -> DataFrame:
+    """page_id, ticker, title, file of a list page's rows whose title has the keyword and that link an archive; each once."""
+    from ledgerline.functions.scalars import ticker
+
+    rows = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), 1)).alias("tr"))
+    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), 1), lambda c: F.trim(F.regexp_replace(c, "<[^>]*>", "")))
+    file = F.nullif(F.regexp_extract("tr", r'href="([^"]+\.zip)"', 1), F.lit(""))
+    out = rows.select("page_id", ticker(F.get(cells, F.lit(0))).alias("ticker"), F.get(cells, F.lit(1)).alias("title"), file.alias("file"))
+    return out.where(F.contains("title", F.lit(keyword)) & F.col("file").isNotNull()).distinct()
+
+
+def deals(spark: SparkSession, path: str) -> DataFrame:
+    """kind, unit_price, prefecture, city, use of land deals in JSON, one object a line or an array."""
+    schema = "Type string, UnitPrice string, Prefecture string, Municipality string, CityPlanning string"
+    return spark.read.schema(schema).option("multiLine", "true").json(path).toDF("kind", "unit_price", "prefecture", "city", "use")
+
+
+def sheet_rows(sheet: DataFrame, code: str, year: int) -> DataFrame:
+    """The first row of a sheet with this code and year, by the sheet's order (pos)."""
+    return sheet.where((F.col("code") == code) & (F.col("fy") == year)).orderBy("pos").limit(1)
+
+
+def read_polygons(content: bytes) -> list[list[list[tuple[float, float]]]]:
+    """Rings of each record of a shapefile's main part (shape type 5; others give no ring)."""
+    import struct
+
+    out, at = [], 100
+    while at + 12 <= len(content):
+        _, words = struct.unpack_from(">ii", content, at)
+        kind = struct.unpack_from("<i", content, at + 8)[0]
+        rings: list = []
+        if kind == 5:
+            parts, points = struct.unpack_from("<ii", content, at + 44)
+            starts = [*struct.unpack_from(f"<{parts}i", content, at + 52), points]
+            xy = struct.unpack_from(f"<{2 * points}d", content, at + 52 + 4 * parts)
+            rings = [[(xy[2 * i], xy[2 * i + 1]) for i in range(a, b)] for a, b in zip(starts, starts[1:])]
+        out.append(rings)
+        at += 8 + 2 * words
+    return out
+
+
+def read_attributes(content: bytes, encoding: str = "cp932") -> list[dict[str, str]]:
+    """The rows of a shapefile's table of attributes, as text."""
+    import struct
+
+    rows, head, size = struct.unpack_from("<IHH", content, 4)
+    fields, at = [], 32
+    while content[at] != 0x0D:
+        fields.append((content[at : at + 11].split(b"\0")[0].decode("ascii"), content[at + 16]))
+        at += 32
+    out = []
+    for r in range(rows):
+        p, row = head + r * size + 1, {}
+        for name, width in fields:
+            row[name] = content[p : p + width].decode(encoding, "replace").strip()
+            p += width
+        out.append(row)
+    return out
+
+
+def polygons(spark: SparkSession, root: str, use: str) -> DataFrame:
+    """path, nth, use, ring (array of struct x, y) of the shapefiles under a folder: each ``.shp`` beside its ``.dbf``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", r"\.[^.]+$", "").alias("path"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("kind"), "content")
+    both = files.where("kind = 'shp'").withColumnRenamed("content", "shp").join(files.where("kind = 'dbf'").select("path", F.col("content").alias("dbf")), "path", "left")
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def parse(batches):
+        for batch in batches:
+            for path, shp, dbf in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                rows = read_attributes(dbf) if dbf else []
+                found = [(path, k, rows[k].get(use) if k < len(rows) else None, [{"x": x, "y": y} for x, y in ring]) for k, rings in enumerate(read_polygons(shp)) for ring in rings]
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.list_(point)))], names=["path", "nth", "use", "ring"])
+
+    return both.select("path", "shp", "dbf").mapInArrow(parse, "path string, nth int, use string, ring array<struct<x:double,y:double>>")

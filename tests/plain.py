@@ -116,4 +116,47 @@ def html_tables(spark, sf):
     return out
 
 
-TRUTH = {f.__name__: f for f in (chunks, html_text, sections, html_tables)}
+def page_chunks(spark, sf):
+    pages = {}
+    for r in _rows(spark, sf, "conversations"):
+        pages.setdefault(r["conv_id"], []).append((r["turn"] * 10 + (r["role"] != "user"), r["text"] or ""))
+    out = []
+    for i, own in pages.items():
+        done, cur, seen = [], "", []
+        for p, t in sorted(own):
+            longer = cur + "\n\n" + t if cur else t
+            if cur and len(longer) // 2 > 100:
+                done.append((cur, seen))
+                cur, seen = (cur[-30:] if len(cur) > 30 else "") + "\n\n" + t, [p]
+            else:
+                cur, seen = longer, [*seen, p]
+        done += [(cur, seen)] if cur.strip(" ") else []
+        out += [(i, k, s[0], s[-1], hashlib.md5(c.strip(" ").encode()).hexdigest()) for k, (c, s) in enumerate(done)]
+    return out
+
+
+def item_sections(spark, sf):
+    """What the fixture's own making says must come out."""
+    out = []
+    for r in _rows(spark, sf, "documents"):
+        t = re.sub(r"[ \t\n\x0b\f\r]+", " ", r["text"] or "")[:4000]
+        part = lambda head: len((head + "\n" + t).strip())  # noqa: E731,B023
+        k = r["doc_id"]
+        if k % 3 == 0:
+            rows = [("00_full_text", len(t))] if t else []
+        elif k % 5 == 0:
+            rows = [("02_risk_factors", part("RISK FACTORS")), ("03_mda", part("Management's Discussion and Analysis of it"))]
+            rows = [(n, c) for n, c in rows if c >= 200]
+        elif (body := "TABLE OF CONTENTS\n" + "." * 90 + "\nPART I\nItem 1. Business 3\nItem 1A. Risk Factors 9\nPART II\nItem 7. MD&A 20\n" + f"\nPART I\nItem 1. Business\n{t}\nItem 1A. Risk Factors\n{t}\nItem 7. Discussion\n{t}\nItem 8. Statements\n{t}") and body.rindex("PART I\n") > 0.3 * len(body):
+            # The contents' end lies past 30 per cent, so it is not believed: the contents' own headings count.
+            a, b = body.index("Item 7."), body.index("\nItem 8.")
+            rows = [("00_cover", len(body[: body.index("Item 1.")].strip())), ("03_mda", len(body[a:b].strip())), ("04_financial_statements", part("Item 8. Statements"))]
+            rows = [(n, c) for n, c in rows if c >= (101 if n == "00_cover" else 50)]
+        else:
+            rows = [("01_business", part("Item 1. Business")), ("02_risk_factors", part("Item 1A. Risk Factors")), ("03_mda", part("Item 7. Discussion")), ("04_financial_statements", part("Item 8. Statements"))]
+            rows = [(n, c) for n, c in rows if c >= 50]
+        out += [(k, j, n, c) for j, (n, c) in enumerate(rows)]
+    return out
+
+
+TRUTH = {f.__name__: f for f in (chunks, html_text, sections, html_tables, page_chunks, item_sections)}
