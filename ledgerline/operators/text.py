@@ -17,12 +17,15 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     Query terms count with their multiplicity. Term and document counts are aggregates; a query meets only the
     documents that hold one of its terms.
     """
-    tf = docs.select(F.col("id").alias("doc_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    length = docs.select(F.col("id").alias("doc_id"), F.size(terms(F.col("text"))).alias("len"))
-    totals = length.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Texts are cut into terms once: a document's length travels with its terms, and the total is theirs.
+    cut = docs.select(F.col("id").alias("doc_id"), terms(F.col("text")).alias("terms"))
+    tf = cut.select("doc_id", F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    totals = tf.agg(F.sum("tf").alias("all")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", (F.col("all") / F.col("n")).alias("mean"))  # one row
     asked = queries.select(F.col("id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    rows = asked.join(df, "term").join(tf, "term").join(length, "doc_id").crossJoin(F.broadcast(totals))  # one row
+    # Only the queries' terms go on.
+    held = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    rows = asked.join(df, "term").join(held, "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qn") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(part.cast("decimal(28,12)")).cast("double"), 6).alias("score"))
@@ -101,3 +104,18 @@ def number_mentions(docs: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(r"(\d[\d,]*(?:\.\d+)?\s*(?:%|兆円|億円|百万円|million|billion))"), 1)
     rows = docs.select("doc_id", F.posexplode(found).alias("nth", "m"))
     return rows.select("doc_id", "nth", F.regexp_replace(F.regexp_extract("m", r"([\d,.]+)", 1), ",", "").try_cast("double").alias("value"), F.trim(F.regexp_extract("m", r"([^\d,.\s]+)$", 1)).alias("unit"))
+
+
+def vector_search(vectors: DataFrame, queries: DataFrame, k: int, same: list[str]) -> DataFrame:
+    """query_id, id, score, place: each query's ``k`` vectors with the largest inner products (rounded to nine places), ties
+    to smaller ids, among those that equal it in the columns ``same``; its own id is no match. Both inputs are (id, vector
+    and those columns); every query meets every row of its filter, and only the best of each partition are shuffled."""
+    q = queries.select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("_q"), *same)
+    v = vectors.select("id", F.col("vector").cast("array<double>").alias("_v"), *same)
+    dot = F.aggregate(F.zip_with("_q", "_v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    if not same:
+        raise ValueError("without a filter use an index")
+    both = v.join(q, same)
+    scored = both.where("query_id <> id").select("query_id", "id", F.round(dot, 9).alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
