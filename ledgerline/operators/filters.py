@@ -61,12 +61,6 @@ def already_stored(incoming: DataFrame, store: DataFrame, keys: list[str]) -> Da
     return incoming.join(store.select(*keys, "doc_id").distinct(), [*keys, "doc_id"], "left_semi")
 
 
-def industry_tags(tags: DataFrame, industry: str) -> DataFrame:
-    """The tags of an industry and those for all, by priority, the industry's own before equals."""
-    own = tags.where(F.col("industry").isin(industry, "all"))
-    return own.orderBy("priority", (F.col("industry") == "all").cast("int"), "ordinal")
-
-
 def learned_tags(store: DataFrame, found: DataFrame) -> DataFrame:
     """The store of (field, tag, companies) after new sightings (field, tag, company): companies are added up as sets."""
     new = found.groupBy("field", "tag").agg(F.collect_set("company").alias("_new"))

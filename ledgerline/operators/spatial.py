@@ -80,6 +80,29 @@ def first_zone(x: Column, y: Column, zones: list[tuple[str, list[tuple[float, fl
     return out
 
 
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Even-odd rule against a ring (array of struct x, y), by a fold over its edges."""
+    after = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    edges = F.zip_with(ring, after, lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    low, high = (lambda e: F.least(e["y1"], e["y2"])), (lambda e: F.greatest(e["y1"], e["y2"]))
+    at = lambda e: e["x1"] + (y - e["y1"]) * ((e["x2"] - e["x1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)))
+    return F.size(F.filter(edges, lambda e: (y >= low(e)) & (y < high(e)) & (x < at(e)))) % 2 == 1
+
+
+def zone_join(points: DataFrame, zones: DataFrame, size: float = 0.05) -> DataFrame:
+    """id, use of points (id, lat, lon): the first zone (nth, use, ring) that holds each, null without one.
+
+    Zones stand in every grid cell that their bounding box meets, points in one: an equi-join on cells, then the exact test.
+    """
+    square = lambda c: F.floor(c / size).cast("int")
+    ends = lambda k: (F.array_min(F.transform("ring", lambda p: p[k])), F.array_max(F.transform("ring", lambda p: p[k])))
+    cells = lambda k: F.explode(F.sequence(*[square(e) for e in ends(k)]))
+    z = zones.withColumn("_x", cells("x")).withColumn("_y", cells("y"))
+    p = points.select("id", "lat", "lon", square(F.col("lon")).alias("_x"), square(F.col("lat")).alias("_y"))
+    hits = p.join(z, ["_x", "_y"]).where(in_ring(F.col("lon"), F.col("lat"), F.col("ring")))
+    return points.select("id").join(hits.groupBy("id").agg(F.min_by("use", "nth").alias("use")), "id", "left")
+
+
 def group_outliers(df: DataFrame, key: str, value: str, times: float = 10.0, floor: float = 30.0, least: int = 3) -> DataFrame:
     """Rows of groups of ``least`` or more whose value exceeds ``times`` the group's upper median and ``floor``."""
     # The discrete median from above is the upper one; it merges counts of values, not lists of rows.

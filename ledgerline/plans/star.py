@@ -370,6 +370,20 @@ def polygon_zone(spark, d):
     return points(spark, d).select(F.coalesce(zone, F.lit("none")).alias("zone")).groupBy("zone").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH p AS (SELECT CAST(embedding[2] AS DOUBLE) + 135 AS x, CAST(embedding[1] AS DOUBLE) + 35 AS y FROM embeddings)
+SELECT zone, count(*) AS n FROM (
+  SELECT CASE WHEN x >= 134.95 AND x < 135.05 AND y >= 34.95 AND y < 35.05 THEN 'core'
+    WHEN x BETWEEN 135.0 AND 135.4 AND y BETWEEN 35.0 AND 35.4 AND
+      (CASE WHEN y >= 35.0 AND y < 35.1 AND x < 135.0 + (y - 35.0) * ((135.4 - 135.0) / (35.1 - 35.0)) THEN 1 ELSE 0 END + CASE WHEN y >= 35.1 AND y < 35.4 AND x < 135.4 + (y - 35.1) * ((135.1 - 135.4) / (35.4 - 35.1)) THEN 1 ELSE 0 END + CASE WHEN y >= 35.0 AND y < 35.4 AND x < 135.1 + (y - 35.4) * ((135.0 - 135.1) / (35.0 - 35.4)) THEN 1 ELSE 0 END) % 2 = 1 THEN 'wedge' ELSE 'none' END AS zone FROM p) GROUP BY 1""")
+def zone_join(spark, d):
+    """The same zones as rows, found by cells."""
+    rings = [(k, name, [{"x": float(x), "y": float(y)} for x, y in ring]) for k, (name, ring) in enumerate(ZONES)]
+    zones = spark.createDataFrame(rings, "nth int, use string, ring array<struct<x:double,y:double>>")
+    out = spatial.zone_join(points(spark, d), zones)
+    return out.select(F.coalesce("use", F.lit("none")).alias("zone")).groupBy("zone").agg(F.count("*").alias("n"))
+
+
 @query("""
 WITH a(alias, category, level) AS (VALUES ('red', 'colour', 1), ('red widget', 'product', 2), ('widget', 'goods', 1), ('ring', 'jewel', 1), ('small ring', 'jewel_s', 2))
 SELECT p_partkey AS id, alias, category FROM (

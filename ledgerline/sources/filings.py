@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -124,8 +126,20 @@ def fact_entries(df: DataFrame) -> DataFrame:
 
 
 def listings(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A code list in CSV with a header, all columns as text."""
-    return spark.read.option("header", "true").option("encoding", encoding).csv(path)
+    """A code list in CSV with a header, all columns as text. Spark reads Unicode and Latin files itself; other encodings
+    are decoded where the files are read."""
+    if re.match(r"(utf|iso-8859-1$|us-ascii$)", encoding.lower()):
+        return spark.read.option("header", "true").option("encoding", encoding).csv(path)
+
+    def decode(batches):
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = list(csv.reader(io.StringIO(content.decode(encoding, "replace"))))
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["pos", "cells"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, "pos bigint, cells array<string>")
+    head = rows.where("pos = 0").first()
+    return rows.where("pos > 0").select(*[F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(head["cells"] if head else [])])
 
 
 def filing_index(df: DataFrame) -> DataFrame:
