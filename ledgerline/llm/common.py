@@ -63,6 +63,10 @@ class Scratch:
         path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
 
+    def exists(self, name: str) -> bool:
+        path, fs = self._file(name)
+        return fs.exists(path)
+
     def make(self, name: str) -> None:
         """The folder of a table, if it is not there."""
         path, fs = self._file(name)

@@ -203,7 +203,7 @@ def dedup_substrings(docs: DataFrame, length: int = 13, chunk_bytes: int = 8 <<
     def level(df: DataFrame, name: str) -> tuple[DataFrame, ...]:
         df.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path(name))
         table = spark.read.schema(df.schema).parquet(scratch.path(name))
-        return tuple(table.where(F.col("kind") == k).drop("kind") for k in (POST, STATE, MARK))
+        return tuple(table.where(F.col("kind") == kind).drop("kind") for kind in (POST, STATE, MARK))
 
     def answers(posted: DataFrame, name: str) -> DataFrame:
         return scratch.table(posted.groupBy("range").applyInArrow(_answer, _REPLY), name).groupBy("chunk")
@@ -234,10 +234,11 @@ def dedup_substrings(docs: DataFrame, length: int = 13, chunk_bytes: int = 8 <<
     scratch.drop("level-0", "answers-0")
     scratch.release()
     marks, size, k = None, length, 1
-    while marks is None or not posted.isEmpty():
+    while marks is None or scratch.exists(f"level-{k}/kind={POST}"):  # a kind without a row has no folder
         replies = answers(posted, f"answers-{k}")
         scratch.drop(f"level-{k}/kind={POST}")
-        scratch.release()
+        if k < 3:  # the levels that shuffle much
+            scratch.release()
         posted, state, marked = level(state.groupBy("chunk").cogroup(replies).applyInArrow(extend(size), _LEVEL), f"level-{k + 1}")
         scratch.drop(f"answers-{k}", f"level-{k}/kind={STATE}")
         marks = marked if marks is None else marks.unionByName(marked)
