@@ -11,12 +11,12 @@ from ledgerline.llm import language_id, quality
 from ledgerline.llm.common import Scratch
 from ledgerline.llm.decontaminate import find_leaks
 from ledgerline.llm.line_dedup import dedup_lines
-from ledgerline.llm.mixing import mix, word_count
+from ledgerline.llm.mixing import mix
 from ledgerline.llm.near_dedup import near_duplicates
 from ledgerline.llm.nearest import nearest
 from ledgerline.llm.substring_dedup import dedup_substrings
 from ledgerline.llm.token_counts import token_counts
-from ledgerline.llm.token_output import read_tokens, write_tokens
+from ledgerline.llm.token_output import read_tokens, token_lengths, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_table(spark, sf_dir, "documents"), word_count(), max_repeats=1.5)
+    return mix(token_lengths(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")), F.col("n_tokens"), max_repeats=1.5)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

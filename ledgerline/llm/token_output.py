@@ -221,6 +221,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, sh
     out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 16).parquet(path)
 
 
+def token_lengths(docs: DataFrame, tokenizer: str, text: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, source, n_tokens of every row: the ids that ``tokenizer`` makes of its whole text, and the end id. A null text
+    counts as empty; other columns are ignored."""
+
+    def count(batches):
+        encoder = encoder_for(tokenizer)
+        for part in pieces(batches, slice_bytes):
+            bounds = encoder(part.column(2))[1]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(bounds) + 1, pa.int64())], names=["doc_id", "source", "n_tokens"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col(text).alias("text"))
+    return rows.mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the name, where one was written), start, n_tokens, ids_crc32 of every document, from the files alone.
 

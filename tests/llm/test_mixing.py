@@ -144,7 +144,10 @@ def test_mix(spark):
 
 def test_queries_mix_and_leaks(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    given = [(r["doc_id"], r["source"], max(1, len(r["text"].split()))) for r in docs]
+    from ledgerline.llm.token_output import Encoder
+
+    raw = Encoder(corpus_pipeline.tokenizer(corpus_pipeline.VOCABULARY))._raw([r["text"] for r in docs])
+    given = [(r["doc_id"], r["source"], len(x) // 2 + 1) for r, x in zip(docs, raw)]
     check_mix(op8_mixing(spark, sf).collect(), given, 1.5, 1 << 20)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = {r["doc_id"]: (n, len(h), len(o)) for r, (n, h, o) in zip(docs, leak_truth([r["text"] for r in docs], items, 10))}
