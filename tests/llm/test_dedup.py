@@ -153,6 +153,7 @@ def near_truth(rows, shingle, percent):
 @pytest.mark.parametrize("shingle,block", [(2, 4096), (5, 4096), (2, 7)])
 def test_near(spark, shingle, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "HEAD", 4 if block < 4096 else 512)
     rows = documents(80, seed=9)
     base = ("alpha beta gamma delta " * 3 + " ".join(f"k{k}" for k in range(60))).split()
     for k in range(40):  # a group around the threshold: single links matter
@@ -164,6 +165,13 @@ def test_near(spark, shingle, block, monkeypatch):
     assert sorted(map(tuple, got)) == near_truth(rows, shingle, 80)
 
 
+def test_registered_near(spark, sf):
+    from ledgerline.llm.queries import op6_near_dedup
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(map(tuple, op6_near_dedup(spark, sf).collect())) == near_truth(rows, 2, 80)
+
+
 def test_empty(spark):
     none = frame(spark, [])
     assert dedup_substrings(none, chunks=2).count() == 0

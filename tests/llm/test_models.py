@@ -148,3 +148,52 @@ def test_nearest_recall_large_shard(spark, kind):
     recall = [len(set(np.argsort(-s[j])[:20].tolist()) & got[i]) / 20 for j, i in enumerate(asked.tolist())]
     print(kind, "recall", np.mean(recall), "lowest tenth", np.quantile(recall, 0.1))
     assert np.mean(recall) >= 0.9
+
+
+def test_features_plain():
+    """The vectorised features against a plain reading of the same text."""
+    import math
+    import re
+
+    kinds = ["upper", "lower", "digit", "high", "blank", "stop", "other", "control"]
+
+    def kind(b):
+        c = chr(b)
+        return kinds.index("high" if b >= 128 else "upper" if c.isupper() else "lower" if c.islower() else "digit" if c.isdigit() else "blank" if b in (9, 10, 11, 12, 13, 32) else "stop" if c in ".," else "control" if b < 32 or b == 127 else "other")
+
+    texts = ["Hello, hello world. 12!", "", "éé aa aa aa", "x" * 600 + " y", "a\x00b\tc", None, "One one ONE two"]
+    got = quality.features(pa.array(texts))
+    for t, row in zip(texts, got):
+        raw = (t or "").encode()
+        seq = [kind(b) for b in raw]
+        n = max(1, len(raw))
+        assert np.allclose(row[:8], [seq.count(k) / n for k in range(8)])
+        pairs = [(a, b) for a, b in zip(seq, seq[1:])]
+        assert np.allclose(row[8:72], [pairs.count((a, b)) / n for a in range(8) for b in range(8)])
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", raw) if w]
+        low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+        each, log = max(1, len(words)), math.log1p(len(words))
+        base = 72 + sum(kind(b) == 6 for b in range(256))
+        most = max((low.count(w) for w in low), default=0)
+        again = sum(a == b for a, b in zip(low, low[1:]))
+        want = [sum(map(len, words)) / each / 10, sum(min(len(w), 100) ** 2 for w in words) / each / 100, len(set(low)) / each, len(set(low)) / each * log / 5, most / each, again / each, log / 5, float(not words)]
+        assert np.allclose(row[base : base + 8], want)
+
+
+def test_language_plain(spark, sf):
+    """Shares by the bit-sliced filter, less chance, against shares by plain sets of the same n-grams."""
+    docs = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text").collect() if r["text"]]
+    known = {}
+    for lang, t in docs[: len(docs) // 2]:
+        known.setdefault(lang, set()).update(language_id._grams([t])[0].tolist())
+    model = language_id.LanguageFilter({k: np.array(sorted(v), np.uint32) for k, v in known.items()})
+    texts = [t for _, t in docs]
+    shares = model.shares(texts)
+    far = 0
+    for t, row in zip(texts, shares):
+        grams = language_id._grams([t])[0].tolist()
+        plain = [sum(g in known[k] for g in grams) / max(1, len(grams)) for k in model.languages]
+        far += np.abs(row - plain).max() > 0.1
+        if len(grams) > 100 and sorted(plain)[-1] - sorted(plain)[-2] > 0.2:
+            assert row.argmax() == int(np.argmax(plain))
+    assert far <= 0.1 * len(texts)

@@ -122,3 +122,21 @@ def test_files(spark, tmp_path):
     assert [r["doc_id"] for r in read_tokens(spark, str(tmp_path / "named")).orderBy("start").collect()] == placed
     write_tokens(frame(spark, []), str(tmp_path / "none"), WORD)
     assert read_tokens(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_registered(spark, sf):
+    """The queries themselves over the whole table against the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from ledgerline.llm.queries import op2_token_output, op10_token_counts
+
+    docs = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    sp, t, start, want = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(WORD), 0, []
+    for i, text in docs:
+        ids = [*t.encode(text, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in op2_token_output(spark, sf).collect()) == want
+    counts = [(i, len(x.encode()), n := len(sp.encode(x)), n > 4096) for i, x in docs]
+    assert sorted(tuple(r) for r in op10_token_counts(spark, sf).collect()) == counts
