@@ -39,8 +39,8 @@ def facility_tables(spark, d):
 
 
 @query("""
-SELECT n_regionkey::BIGINT AS page_id, 'parallel' AS layout, n_name AS segment, 'revenue' AS measure, n_nationkey * 1000.0 + 5 AS value FROM nation
-UNION ALL SELECT n_regionkey, 'headed', n_name, 'profit', -(n_nationkey + 1.0) FROM nation UNION ALL SELECT n_regionkey, 'stacked', n_name, m, CASE m WHEN 'revenue' THEN n_nationkey * 1000.0 + 5 ELSE n_nationkey + 1.0 END FROM nation, (VALUES ('revenue'), ('profit')) t(m)""")
+SELECT n_regionkey::BIGINT AS page_id, 'parallel' AS layout, n_name AS segment, 'revenue' AS measure, n_nationkey * 1e3 + 5 AS value FROM nation
+UNION ALL SELECT n_regionkey, 'headed', n_name, 'profit', -(n_nationkey + 1e0) FROM nation UNION ALL SELECT n_regionkey, 'stacked', n_name, m, CASE m WHEN 'revenue' THEN n_nationkey * 1e3 + 5 ELSE n_nationkey + 1e0 END FROM nation, (VALUES ('revenue'), ('profit')) t(m)""")
 def segment_layouts(spark, d):
     """The three ways in which reports print segments, read into one form."""
     n = table(spark, d, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.regexp_replace("n_name", " ", "").alias("name")))).alias("n"))

@@ -262,7 +262,7 @@ def segment_sums(spark, d):
 
 
 @query("""
-SELECT c_custkey AS code, floor(c_acctbal) * CASE WHEN c_custkey % 3 = 0 THEN 1.5 ELSE 1 END * 1e6 AS display, floor(c_acctbal) * 1e6 AS store, round(CASE WHEN c_custkey % 3 = 0 THEN 0.5 ELSE 0 END, 6) AS ratio FROM customer WHERE c_custkey % 3 = 0 AND floor(c_acctbal) > 0""")
+SELECT c_custkey AS code, floor(c_acctbal) * CASE WHEN c_custkey % 3 = 0 THEN 1.5 ELSE 1 END * 1e6 AS display, floor(c_acctbal) * 1e6 AS store, round(CASE WHEN c_custkey % 3 = 0 THEN 5e-1 ELSE 0e0 END, 6) AS ratio FROM customer WHERE c_custkey % 3 = 0 AND floor(c_acctbal) > 0""")
 def reconciled(spark, d):
     """Figures on display that are off the store's, largest first."""
     c = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("code"), F.floor("c_acctbal").alias("v"))
