@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators import classify, excerpts, markets, merge, select
+from ledgerline.operators import classify, excerpts, facilities, markets, merge, select
 from ledgerline.plans.star import ORACLE, QUERIES, table
 
 
@@ -81,6 +81,29 @@ cased("date_texts", "DATE", S.any_date, [("2024-05-01", "2024-05-01"), ("2024/05
 cased("industries", "VARCHAR", lambda x: classify.keyword_class(x, [("bank", ["銀行", "bank"]), ("retail", ["ストア", "store"]), ("maker", ["製作所", "工業"])]), [("みずほ銀行", "bank"), ("App Store KK", "retail"), ("日立製作所", "maker"), ("その他", "other")])
 
 
+#: Facilities (address;office;area;book;price) and why they are not believed.
+FACILITIES = [
+    ("東京都ほか;工場;10;1;", "address_ambiguous"), ("港区;支店（注）;10;1;", "annotation_marked"), ("港区;鉱山;10000000;1;", "area_too_large"), ("港区;倉庫;101;;", "leased_land"), ("港区;倉庫;100001;5000000;3000001", "urban_area_implausible"),
+    ("豊田市;本社;500001;9000;100", "head_office_aggregate"), ("港区;本店;30001;900000;500001", "head_office_aggregate_urban"), ("港区;山林;10000;4.9;", "book_too_low"), ("港区;店;60;6001;", "book_too_high"), ("港区;店;1000;1000;99999", "book_against_price"),
+    ("港区;店;49;101;", "area_too_small"), ("港区;店;1000;1000;100000", None), ("港区;店;100;0;", None)
+]
+
+
+def outlier_rules(spark, d):
+    """Facilities over all parts, and the first reason not to believe them."""
+    names = ["address", "office", "area", "book", "price"]
+    given = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(FACILITIES)], "k bigint, x string")
+    cells = [F.split("x", ";")[i].alias(n) if n in names[:2] else F.split("x", ";")[i].try_cast("double").alias(n) for i, n in enumerate(names)]
+    judged = facilities.with_outliers(given.select("k", *cells)).select("k", F.col("reason").alias("value"))
+    return table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % len(FACILITIES)).alias("k")).join(judged, "k").select("p_partkey", "value")
+
+
+QUERIES["outlier_rules"] = outlier_rules
+ORACLE["outlier_rules"] = f"SELECT p_partkey, [{', '.join(_sql(v) for _, v in FACILITIES)}][p_partkey % {len(FACILITIES)} + 1] AS value FROM part"
+cased("bounded_values", "DOUBLE", lambda x: facilities.bounded_value(*[F.split(x, ";")[k].try_cast("double") for k in range(4)], F.split(x, ";")[4] == "1"), [
+    ("500;100;3;;0", 300.0), ("500;100;;2;0", 200.0), ("500;100;;;0", 500.0), ("50;100;;;1", 120.0), ("50;100;;;0", 50.0), ("500;;3;2;1", 500.0), ("200;100;3;;1", 200.0)])
+
+
 def filings_part(path):
     from ledgerline.sources.filings import path_parts
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as S
-from ledgerline.operators import audit, classify, excerpts, filters, markets, merge, select, text
+from ledgerline.operators import audit, classify, excerpts, facilities, filters, markets, select, spatial, text
 from ledgerline.plans.star import query, table
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -376,3 +376,40 @@ def pruned_tree(spark, d):
     up = n.join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
     down = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("parent"), F.col("s_name").alias("child"))
     return tree.pruned(tree.layout(up.unionByName(down)), s.where("s_acctbal > 5000").select(F.col("s_name").alias("id"))).select("id")
+
+
+@query("""
+WITH f AS (SELECT l_suppkey, l_extendedprice AS book, CASE WHEN l_linenumber % 5 <> 0 THEN l_extendedprice * 1.5 END AS market, l_discount * 10 AS dispersion, CASE WHEN l_tax = 0 THEN 'x' END AS reason FROM lineitem),
+p AS (SELECT *, reason IS NULL AND market IS NOT NULL AS ok, CASE WHEN dispersion < 0.25 THEN 'low' WHEN dispersion < 0.5 THEN 'medium' ELSE 'high' END AS level FROM f)
+SELECT l_suppkey, count(*) AS facilities, count(*) FILTER (WHERE ok) AS priced, count(*) FILTER (WHERE reason IS NOT NULL) AS excluded, CAST(sum(CAST(book AS DECIMAL(18,4))) FILTER (WHERE ok) AS DOUBLE) AS book, CAST(sum(CAST(market AS DECIMAL(18,4))) FILTER (WHERE ok) AS DOUBLE) AS market,
+  CAST(sum(CAST(market AS DECIMAL(18,4))) FILTER (WHERE ok AND level = 'high') AS DOUBLE) AS market_high, count(*) FILTER (WHERE ok AND level = 'low') AS level_low, round(count(*) FILTER (WHERE ok) / count(*), 9) AS coverage FROM p GROUP BY 1""")
+def land_totals(spark, d):
+    """A company's land: what is priced, what is left out, and how far prices lie apart."""
+    n, v = F.col("l_linenumber"), F.col("l_extendedprice")
+    f = table(spark, d, "lineitem").select("l_suppkey", v.alias("book"), F.when(n % 5 != 0, v * 1.5).alias("market"), v.alias("low"), (v * 2).alias("high"), (F.col("l_discount") * 10).alias("dispersion"), F.when(F.col("l_tax") == 0, "x").alias("reason"))
+    out = facilities.land_totals(f, "l_suppkey")
+    return out.select("l_suppkey", "facilities", "priced", "excluded", "book", "market", "market_high", "level_low", F.round("coverage", 9).alias("coverage"))
+
+
+def _price_stats(df, *keys):
+    return df.groupBy(*keys).agg(*spatial.price_stats(df, "p_retailprice"))
+
+
+PRICE_SIDES = """{n} AS (SELECT p_brand, p_type, count(*) AS n, CAST(sum(CAST(p_retailprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean, quantile_cont(p_retailprice, 0.5) AS median, min(p_retailprice) AS low, max(p_retailprice) AS high, CASE WHEN count(*) >= 2 THEN quantile_cont(p_retailprice, 0.25) END AS p25 FROM part WHERE {w} GROUP BY 1, 2)"""
+MERGED = f"WITH {PRICE_SIDES.format(n='o', w='p_size < 35')}, {PRICE_SIDES.format(n='w', w='p_size >= 35')}, m AS (SELECT coalesce(o.p_brand, w.p_brand) AS p_brand, coalesce(o.p_type, w.p_type) AS p_type, coalesce(o.n, 0) + coalesce(w.n, 0) AS n, (coalesce(o.mean * o.n, 0) + coalesce(w.mean * w.n, 0)) / (coalesce(o.n, 0) + coalesce(w.n, 0)) AS mean, coalesce(w.median, o.median) AS median, least(o.low, w.low) AS low, greatest(o.high, w.high) AS high, coalesce(w.p25, o.p25) AS p25, coalesce(w.n, 0) AS newer FROM o FULL JOIN w ON o.p_brand = w.p_brand AND o.p_type = w.p_type)"
+
+
+@query(f"{MERGED} SELECT p_brand, p_type, n, round(mean, 6) AS mean, round(median, 6) AS median, low, high, round(p25, 6) AS p25, newer FROM m")
+def merged_prices(spark, d):
+    """Older and newer price statistics of a place and use as one."""
+    p = table(spark, d, "part")
+    out = facilities.merged_prices(_price_stats(p.where("p_size < 35"), "p_brand", "p_type"), _price_stats(p.where("p_size >= 35"), "p_brand", "p_type"), ["p_brand", "p_type"])
+    return out.select("p_brand", "p_type", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "low", "high", F.round("p25", 6).alias("p25"), "newer")
+
+
+@query(f"{MERGED}, x AS (SELECT p_brand, mean, unnest(range(n)) FROM m) SELECT p_brand, count(*) AS n, round(quantile_cont(mean, 0.5), 6) AS median, round(quantile_cont(mean, 0.25), 6) AS p25 FROM x GROUP BY 1")
+def rebuilt_totals(spark, d):
+    """A place's statistics over its uses, each mean weighing as much as it has prices."""
+    p = table(spark, d, "part")
+    m = facilities.merged_prices(_price_stats(p.where("p_size < 35"), "p_brand", "p_type"), _price_stats(p.where("p_size >= 35"), "p_brand", "p_type"), ["p_brand", "p_type"])
+    return facilities.rebuilt_total(m, "p_brand").select("p_brand", "n", F.round("median", 6).alias("median"), F.round("p25", 6).alias("p25"))
