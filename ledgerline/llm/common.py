@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import re
@@ -106,6 +107,19 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([raw, np.zeros(8, np.uint8)]), offs - offs[0]
 
 
+try:  # glibc alone keeps what numpy has freed; elsewhere there is nothing to give back
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
+def trim() -> None:
+    """Gives a worker's freed memory back to the system, as workers live from task to task."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC:
+        _LIBC.malloc_trim(0)
+
+
 def pieces(batches, limit: int):
     """Record batches cut into slices whose ``text`` holds about ``limit`` bytes (one document at least)."""
     for batch in batches:
@@ -117,6 +131,8 @@ def pieces(batches, limit: int):
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+        del batch
+        trim()
 
 
 # ---- words and hashes -------------------------------------------------------------------------------------------
