@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -13,6 +14,12 @@ from ledgerline.functions.scalars import first_case, parse_number
 CELLS = "page_id bigint, tab int, row int, col int, content string, header boolean, from_row int, from_col int"
 
 
+def _span(attrs: list[tuple], name: str) -> int:
+    """A span's number, 1 if there is none or it is 0; past 18 digits it is more than any table has."""
+    found = re.match(r"\s*0*(\d+)\s*$", dict(attrs).get(name) or "1")
+    return max(1, int(found[1][:18])) if found else 1
+
+
 class _Grid(HTMLParser):
     """Rows of the outermost tables' cells: (content, is header, rowspan, colspan)."""
 
@@ -31,8 +38,8 @@ class _Grid(HTMLParser):
             self._close()
             if not self.tables[-1]:
                 self.tables[-1].append([])
-            span = lambda k: max(1, min(1000, int(v) if (v := dict(attrs).get(k) or "1").strip().isdigit() else 1))
-            self.cell = ([], tag == "th", span("rowspan"), span("colspan"))
+            # A row span ends with the table, so its number needs no bound; a column span makes its columns, 1000 at most as in HTML.
+            self.cell = ([], tag == "th", _span(attrs, "rowspan"), min(1000, _span(attrs, "colspan")))
         elif self.cell and tag in ("br", "p", "div"):
             self.cell[0].append("\n")
 
