@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -60,36 +62,42 @@ class _Grid(HTMLParser):
             self.cell = None
 
 
-def laid_out(html: str) -> list[tuple]:
+def laid_out(html: str) -> Iterator[tuple]:
     """(table, row, col, content, header, from_row, from_col) of every place that a cell covers, spans spread out."""
     p = _Grid()
     p.feed(html or "")
     p.close()
-    out = []
     for t, rows in enumerate(p.tables):
-        taken: dict = {}
+        # By column the cells that cover it from this row on, (end, content, header, row, col): the first stands, one that
+        # ends no later than those before it never will.
+        covers: dict = {}
         for r, cells in enumerate(rows):
+            covers = {x: left for x, held in covers.items() if (left := [v for v in held if v[0] > r])}
             c = 0
             for content, header, down, across in cells:
-                while (r, c) in taken:
+                while c in covers:
                     c += 1
-                for y in range(r, min(r + down, len(rows))):
-                    for x in range(c, c + across):
-                        taken.setdefault((y, x), (content, header, r, c))
+                end = min(r + down, len(rows))
+                for x in range(c, c + across):
+                    held = covers.setdefault(x, [])
+                    if not held or held[-1][0] < end:
+                        held.append((end, content, header, r, c))
                 c += across
-        out += [(t, y, x, *v) for (y, x), v in sorted(taken.items())]
-    return out
+            for x in sorted(covers):
+                yield (t, r, x, *covers[x][0][1:])
 
 
-def spread_cells(pages: DataFrame) -> DataFrame:
-    """One row for each place of the tables of pages (page_id, html): what stands there, and the cell it comes from."""
+def spread_cells(pages: DataFrame, most: int = 1 << 16) -> DataFrame:
+    """One row for each place of the tables of pages (page_id, html): what stands there, and the cell it comes from.
+    Workers hand on ``most`` rows at a time, however many a page has."""
     names = [f.split()[0] for f in CELLS.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int32()]
 
     def lay(batches):
         for batch in batches:
-            rows = [(i, *x) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in laid_out(h)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+            rows = ((i, *x) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in laid_out(h))
+            while part := list(islice(rows, most)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(lay, CELLS)
 
